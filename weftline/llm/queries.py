@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from weftline.llm import token_blocks
+from weftline.llm import mixing, packing, token_blocks
 
 QUERIES = {
     "op1_token_blocks": token_blocks.op1_token_blocks,
+    "op7_systematic_mix": mixing.op7_systematic_mix,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
+}
+SQL: dict[str, str] = {
+    "op7_systematic_mix": mixing.SQL_OP7,
 }
-SQL: dict[str, str] = {}
