@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from weftline.llm import html_text, line_dedup, mixing, packing, simhash, token_blocks
+from weftline.llm import html_text, line_dedup, mixing, packing, quality, simhash, token_blocks
 
 QUERIES = {
     "op1_token_blocks": token_blocks.op1_token_blocks,
     "op2_html_text": html_text.op2_html_text,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op4_quality_scores": quality.op4_quality_scores,
     "op7_systematic_mix": mixing.op7_systematic_mix,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
@@ -15,6 +16,7 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op2_html_text": html_text.op2_html_text,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op4_quality_scores": quality.op4_quality_scores,
     "op7_systematic_mix": mixing.SQL_OP7,
     "op9_line_dedup": line_dedup.SQL_OP9,
 }
