@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from weftline.llm import html_text, line_dedup, line_rules, mixing, packing, quality, simhash, token_blocks
+from weftline.llm import html_text, line_dedup, line_rules, log_bilinear, mixing, packing, quality, simhash, token_blocks
 
 QUERIES = {
     "op1_token_blocks": token_blocks.op1_token_blocks,
     "op2_html_text": html_text.op2_html_text,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
     "op4_quality_scores": quality.op4_quality_scores,
+    "op5_log_bilinear": log_bilinear.op5_log_bilinear,
     "op6_line_quality_rules": line_rules.op6_line_quality_rules,
     "op7_systematic_mix": mixing.op7_systematic_mix,
     "op9_line_dedup": line_dedup.op9_line_dedup,
@@ -18,6 +19,7 @@ SQL: dict[str, str] = {
     "op2_html_text": html_text.op2_html_text,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
     "op4_quality_scores": quality.op4_quality_scores,
+    "op5_log_bilinear": log_bilinear.op5_log_bilinear,
     "op6_line_quality_rules": line_rules.op6_line_quality_rules,
     "op7_systematic_mix": mixing.SQL_OP7,
     "op9_line_dedup": line_dedup.SQL_OP9,
