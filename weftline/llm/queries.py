@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import html_text, line_dedup, line_rules, log_bilinear, mixing, packing, quality, simhash, token_blocks
+from weftline.llm import html_text, line_dedup, line_rules, log_bilinear, mixing, neighbours, packing, quality, simhash, token_blocks
 
 QUERIES = {
     "op1_token_blocks": token_blocks.op1_token_blocks,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_log_bilinear": log_bilinear.op5_log_bilinear,
     "op6_line_quality_rules": line_rules.op6_line_quality_rules,
     "op7_systematic_mix": mixing.op7_systematic_mix,
+    "op8_learned_partitions": neighbours.op8_learned_partitions,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
@@ -22,5 +23,6 @@ SQL: dict[str, str] = {
     "op5_log_bilinear": log_bilinear.op5_log_bilinear,
     "op6_line_quality_rules": line_rules.op6_line_quality_rules,
     "op7_systematic_mix": mixing.SQL_OP7,
+    "op8_learned_partitions": neighbours.op8_learned_partitions,
     "op9_line_dedup": line_dedup.SQL_OP9,
 }
