@@ -75,8 +75,8 @@ def mix(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """
     numbered = shared.written(docs.withColumn("_row", F.monotonically_increasing_id()), spark, "mix-rows")
     taken = copies(numbered.select("source", n_words().alias("size"), "doc_id", F.md5("text").alias("tie"), "_row"), spark)
-    keep = taken.where("copies > 0").select("_row", "copies")
-    return numbered.join(keep, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    keep = taken.where("copies > 0").select("_row", F.col("copies").alias("_copies"))
+    return numbered.join(keep, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 
 def op7_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
