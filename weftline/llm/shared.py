@@ -50,7 +50,7 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """Cuts a batch into runs of rows with about `most` bytes of `column`, so that working memory is bounded."""
     col = batch.column(batch.schema.get_field_index(column))
     sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
@@ -78,7 +78,7 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarr
 
 def id_remainder(doc_id, n: int):
     """crc32(doc_id as text) mod n as a column; a null id counts as the empty text."""
-    return F.pmod(F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string")), F.lit(n))
+    return F.pmod(F.crc32(F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit(""))), F.lit(n))
 
 
 def id_remainder_py(doc_id, n: int) -> int:

@@ -9,6 +9,7 @@ tokenizers library, and remembered up to a bound.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,28 +36,51 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.ids, self.ends, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+        self.slot: dict[str, int] = {}  # slot 0 has the end id
+        self.ids, self.ends, self.n = np.full(1 << 16, END_ID, np.uint32), np.ones(1 << 14, np.int64), 1
+
+    def _store(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """ends: of each piece's ids among ids."""
+        start, most = int(self.ends[self.n - 1]), self.n + len(pieces)
+        if most > len(self.ends):
+            self.ends = np.resize(self.ends, max(most, 2 * len(self.ends)))
+        if start + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, max(start + len(ids), 2 * len(self.ids)))
+        self.ends[self.n : most] = start + ends
+        self.ids[start : start + len(ids)] = ids
+        self.slot.update(zip(pieces, range(self.n, most)))
+        self.n = most
 
     def _learn(self, pieces: list[str]) -> None:
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        """A letter, then one full stop or comma at the end: that sign is a pre-token of its own, so only
+        what stands before it is encoded."""
+        signed = [x for x in pieces if x[-1:] in (".", ",") and x[-2:-1].isalpha()]
+        cores = dict.fromkeys(x[:-1] for x in signed)
+        new = [x for x in pieces if x not in cores and not (x[-1:] in (".", ",") and x[-2:-1].isalpha())]
+        new += [x for x in cores if x not in self.slot]
+        new += [x for x in (".", ",") if x not in self.slot and x not in cores and x not in new[:2]]
+        new = list(dict.fromkeys(new))
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         counts = np.fromiter(map(len, got), np.int64, len(got))
-        start = self.ends[self.n - 1] if self.n else 0
-        ends = start + np.cumsum(counts)
-        while self.n + len(got) > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        while len(ends) and ends[-1] > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ends[self.n : self.n + len(got)] = ends
-        self.ids[start : ends[-1]] = np.fromiter((i for x in got for i in x), np.uint32, int(counts.sum()))
-        self.slot.update(zip(pieces, range(self.n, self.n + len(got))))
-        self.n += len(got)
+        self._store(new, np.fromiter(chain.from_iterable(got), np.uint32, int(counts.sum())), np.cumsum(counts))
+        if signed:
+            at = np.fromiter((self.slot[x[:-1]] for x in signed), np.int64, len(signed))
+            sign = self.ids[self.ends[np.fromiter((self.slot[x[-1]] for x in signed), np.int64, len(signed))] - 1]
+            begins, ends = self.ends[at - 1], self.ends[at]
+            upto = np.cumsum(ends - begins + 1)
+            ids = np.zeros(int(upto[-1]), np.uint32)
+            ids[upto - 1] = sign
+            rest = np.ones(len(ids), bool)
+            rest[upto - 1] = False
+            size = ends - begins
+            ids[rest] = self.ids[np.repeat(begins - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            self._store(signed, ids, upto)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: empty), each followed by END_ID, and each text's start, with the end."""
         texts = pc.fill_null(texts, "")
-        loose = np.asarray(pc.match_substring_regex(texts, SPACE + SPACE))
         marked = pc.replace_substring(pc.replace_substring(texts, " ", CUT + " "), "\n", CUT + "\n")
+        loose = np.asarray(pc.match_substring_regex(texts, SPACE + SPACE))
         if loose.any():
             runs = pc.replace_substring_regex(texts, f"({SPACE}+)", CUT + r"\1")
             marked = pc.if_else(pa.array(loose), runs, marked)
@@ -68,24 +92,20 @@ class Encoder:
         offsets = offsets - offsets[0]
         named = parts.flatten().dictionary_encode()
         pieces = named.dictionary.to_pylist()
-        if len(self.slot) + len(pieces) > self.max_pieces:
+        new = [x for x in pieces if x not in self.slot]
+        if len(self.slot) + len(new) > self.max_pieces:
             self._forget()
-        get = self.slot.get
-        if new := [x for x in pieces if get(x) is None]:
+            new = pieces
+        if new:
             self._learn(new)
         slots = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
-        ends = self.ends[slots]
-        begins = np.where(slots > 0, self.ends[np.maximum(slots - 1, 0)], 0)
-        which = np.asarray(named.indices, dtype=np.int64)
-        lens = (ends - begins)[which]
-        upto = np.concatenate([[0], np.cumsum(lens)])
-        doc_ends = upto[offsets[1:]] + np.arange(1, len(offsets))  # with the end ids
-        starts = np.concatenate([[0], doc_ends])
-        out = np.full(starts[-1], END_ID, np.uint32)
-        shift = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))  # end ids before a piece
-        where = np.arange(upto[-1]) + np.repeat(shift, lens)
-        out[where] = self.ids[np.arange(upto[-1]) + np.repeat(begins[which] - upto[:-1], lens)]
-        return out, starts
+        which = np.insert(slots[np.asarray(named.indices)], offsets[1:], 0)  # with an end after each text
+        begins = np.concatenate([[0], self.ends[: self.n - 1]])
+        sizes, begins = (self.ends[: self.n] - begins)[which], begins[which]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        kind = np.int32 if upto[-1] + len(self.ids) < 1 << 31 else np.int64
+        out = self.ids[np.repeat((begins - upto[:-1]).astype(kind), sizes) + np.arange(upto[-1], dtype=kind)]
+        return out, upto[offsets + np.arange(len(offsets))]
 
 
 @lru_cache(maxsize=2)
