@@ -30,10 +30,15 @@ def masked_mean(x: Column, mask: Column) -> Column:
 
 def compose_delta(pairs: list[tuple[float, Column, Column | None]]) -> Column:
     """Weighted sum of post - pre (or of post alone) over anchors, per element."""
-    out = None
-    for w, post, pre in pairs:
-        one = F.zip_with(doubles(post), doubles(pre), lambda a, b, w=w: w * (a - b)) if pre is not None else F.transform(doubles(post), lambda a, w=w: w * a)
-        out = one if out is None else F.zip_with(out, one, lambda a, b: a + b)
+
+    def one(w: float, post: Column, pre: Column | None) -> Column:
+        if pre is None:
+            return F.transform(doubles(post), lambda a: w * a)
+        return F.zip_with(doubles(post), doubles(pre), lambda a, b: w * (a - b))
+
+    out = one(*pairs[0])
+    for pair in pairs[1:]:
+        out = F.zip_with(out, one(*pair), lambda a, b: a + b)
     return out
 
 
