@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("corpus", "rollouts", "scores", "dialogues", "tables")
+MODULES: tuple[str, ...] = ("corpus", "rollouts", "scores", "dialogues", "tables", "online")
 
 
 def _all(what: str) -> dict:
