@@ -144,3 +144,40 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).columns == ["doc_id", "item_id", "shared", "jaccard", "overlap"]
+
+
+def tool_row(**k):
+    from weftline.functions import dialogue as D
+
+    tool = {"name": "get_weather", "description": "d", "parameters": {"type": "dict", "properties": {"city": {"type": "str"}, "days": {"type": "int, optional"}, "xs": {"type": "List[float]"}}, "required": ["city"]}}
+    lines = k.get("lines", [structure.canonical(tool), structure.canonical(tool)])
+    instruction = "Policy.\n\n" + D.HEADER + "".join(x + "\n" for x in lines) + D.FOOTER + "."
+    call = '<tool_call>\n{"name": "get_weather", "arguments": {"city": "x"}}\n</tool_call>'
+    text = f"hi<|im_end|>\n<|im_start|>assistant\n<think>a</think>ok {call}\n{call}<|im_end|>\n<|im_start|>user\n<tool_response>1</tool_response><tool_response>2</tool_response><|im_end|>\n<|im_start|>assistant\ndone<|im_end|>\n<|im_start|>user\nmore"
+    return D, k.get("instruction", instruction), k.get("input", text), k.get("output", call)
+
+
+def test_dialogue_parser():
+    D, *row = tool_row()
+    got = D.example(*row)
+    assert got["status"] == "ok", got
+    value = structure.strict(got["row"])
+    assert [m["role"] for m in value["messages"]] == ["system", "user", "assistant", "tool", "tool", "assistant", "user"]
+    assert [m.get("tool_call_id") for m in value["messages"] if m["role"] == "tool"] == ["call_0", "call_1"]
+    assert value["tools"][0]["function"]["parameters"]["properties"] == {"city": {"type": "string"}, "days": {"type": "integer"}, "xs": {"type": "array", "items": {"type": "number"}}}
+    codes = [e["code"] for e in got["events"]]
+    assert codes.count("identical_duplicate_tool_definition_removed") == 1 and "schema_optional_suffix_removed" in codes and "schema_list_type_expanded" in codes
+    for change, reason in (
+        ({"instruction": "no tools"}, "tool_block_header_not_recognized"), ({"lines": ["{"]}, "tool_definition_invalid_json"), ({"lines": ['{"name": "f", "parameters": {"type": "object", "required": ["a"], "properties": {}}}']}, "tool_schema_required_properties_mismatch"),
+        ({"lines": ['{"name": "f", "parameters": {"type": "object"}}', '{"name": "f", "parameters": {}}']}, "conflicting_duplicate_tool_name"), ({"input": "<|im_start|>system\nx<|im_end|>"}, "unsupported_role"),
+        ({"input": "<|im_start|>user\nx<|im_start|>"}, "im_start_inside_open_message"), ({"input": "x<|im_end|>y"}, "text_outside_role_block"), ({"input": "a<|im_end|><|im_end|>"}, "im_end_without_im_start"), ({"input": "x<|im_end|><|im_start|>assistant\ny"}, "prompt_ends_with_assistant"),
+        ({"input": "<tool_response>1</tool_response>"}, "tool_response_without_tool_call"), ({"input": ""}, "empty_user_message"), ({"output": ""}, "empty_target"), ({"output": "<tool_call>{</tool_call>"}, "tool_call_invalid_json"),
+        ({"output": '<tool_call>{"name": "g", "arguments": {}}</tool_call>'}, "tool_call_name_not_in_inventory"), ({"output": '<tool_call>{"name": "get_weather", "arguments": {}}</tool_call>'}, "target_arguments_do_not_match_schema"),
+        ({"output": "</tool_call>"}, "unbalanced_tool_call_tags"), ({"output": "a<|endoftext|>"}, "residual_framing_token"), ({"output": None}, "empty_target"),
+    ):
+        D, *row = tool_row(**change)
+        got = D.example(*row)
+        assert (got["status"], got["reason"]) == ("rejected", reason), (change, got)
+    assert D.type_schema("Tuple[int, List[str]]")[0]["maxItems"] == 2 and D.type_schema("List[int, str]") is None and D.type_schema("Tuple[int") is None
+    assert D.target_key({"content": "", "tool_calls": [{"function": {"a": 1}}, {"function": {"b": 2}}]}) == D.target_key({"content": "", "tool_calls": [{"function": {"b": 2}}, {"function": {"a": 1}}]})
+    assert D.parse_call_text("m.f(1, k='x')") == ("m.f", [1], {"k": "x"}) and D.parse_call_text("f(g())") is None and D.bind_positional(["a", "b"], [1, 2], {"b": 3}) == {"a": 1, "b": 3}

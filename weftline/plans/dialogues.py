@@ -154,3 +154,24 @@ SQL = {
     "fn_extract_letter": "SELECT conv_id, turn, substr('ABCD', (turn % 4 + 1)::INT, 1) AS letter FROM conversations",
     "fn_answer_line": "SELECT conv_id, turn, conv_id::VARCHAR AS answer FROM conversations",
 }
+
+
+def parsed(s, d):
+    """Conversations in their serialized form, parsed again: messages, or the reason of a rejection."""
+    from weftline.functions import dialogue as D
+
+    block = F.transform("messages", lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["text"], F.lit("<|im_end|>\n")))
+    rows = talks(s, d).select("conv_id", F.lit("Be kind.\n\n" + D.HEADER + '{"name": "f", "parameters": {"type": "dict"}}\n' + D.FOOTER).alias("instruction"), F.array_join(block, "").alias("input"), F.lit("yes").alias("output"))
+    r = rows.select("conv_id", D.py_parse("instruction", "input", "output").alias("r"))
+    return r.select("conv_id", F.coalesce("r.reason", F.lit("")).alias("reason"), F.coalesce(F.size(F.from_json(F.get_json_object("r.row", "$.messages"), "array<string>")), F.lit(0)).cast("long").alias("n"), F.size(F.filter("r.events", lambda e: e["kind"] == "warning")).cast("long").alias("warnings"))
+
+
+QUERIES["fn_parse_example"] = parsed
+SQL["fn_parse_example"] = """
+WITH g AS (SELECT conv_id, bool_or(role = 'system') AS s, arg_min(role, turn) AS a, arg_max(role, turn) AS z, count(*) AS n FROM conversations GROUP BY 1),
+w AS (SELECT conv_id, count(*) FILTER (role = b) AS w FROM (SELECT conv_id, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) GROUP BY 1)
+SELECT conv_id, CASE WHEN s THEN 'unsupported_role' WHEN a <> 'user' THEN 'dialogue_does_not_start_with_user' WHEN z = 'assistant' THEN 'prompt_ends_with_assistant' ELSE '' END AS reason,
+  (CASE WHEN NOT s AND a = 'user' AND z <> 'assistant' THEN n + 1 ELSE 0 END)::BIGINT AS n,
+  (1 + CASE WHEN NOT s AND a = 'user' AND z <> 'assistant' THEN w ELSE 0 END)::BIGINT AS warnings
+FROM g JOIN w USING (conv_id)
+"""
