@@ -17,12 +17,6 @@ QUERIES = {
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 SQL: dict[str, str] = {
-    "op2_html_text": html_text.op2_html_text,
-    "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
-    "op4_quality_scores": quality.op4_quality_scores,
-    "op5_log_bilinear": log_bilinear.op5_log_bilinear,
-    "op6_line_quality_rules": line_rules.op6_line_quality_rules,
     "op7_systematic_mix": mixing.SQL_OP7,
-    "op8_learned_partitions": neighbours.op8_learned_partitions,
     "op9_line_dedup": line_dedup.SQL_OP9,
 }
