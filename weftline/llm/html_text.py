@@ -29,6 +29,9 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTENT_TAG = frozenset("article main".split())
+#: Whole names that mark content in pages without such an element.
+CONTENT_NAME = frozenset("content main-content maincontent page-content post-content entry-content article-content article-body articlebody post-body entry story story-body post article main".split())
+HAS_CONTENT_TAG = re.compile(r"<(?:article|main)[\s/>]", re.I)
 BOILER_TAG = frozenset("nav footer header aside form menu dialog button fieldset".split())
 COMMENT_NAME = frozenset("comment comments commentlist disqus replies reply respond responses discussion".split())
 BOILER_NAME = COMMENT_NAME | frozenset(
@@ -67,6 +70,9 @@ LABELLED = np.array(
         (45, 0.0, 30, 0.0, 25, 0.0, 1, 0, 1), (25, 0.0, 40, 0.0, 60, 0.0, 1, 0, 1), (120, 0.02, 7, 0.0, 50, 0.0, 1, 0, 1),
         (90, 0.1, 60, 0.0, 8, 0.0, 1, 0, 1), (35, 0.15, 2, 1.0, 40, 0.0, 1, 0, 1), (8, 0.0, 50, 0.0, 60, 0.0, 1, 0, 1),
         (3, 0.0, 40, 0.0, 45, 0.0, 1, 0, 1), (6, 0.0, 33, 0.0, 70, 0.1, 1, 0, 1), (50, 0.0, 3, 1.0, 2, 1.0, 1, 0, 1),
+        (2, 1.0, 2, 1.0, 0, 0.0, 1, 0, 0), (1, 1.0, 3, 0.0, 0, 0.0, 1, 0, 0), (3, 0.9, 60, 0.0, 0, 0.0, 1, 0, 0), (4, 1.0, 30, 0.0, 40, 0.0, 1, 0, 0),
+        (16, 0.0, 0, 0.0, 2, 1.0, 1, 0, 1), (18, 0.0, 40, 0.0, 3, 1.0, 1, 0, 1), (30, 0.0, 50, 0.0, 0, 0.0, 1, 0, 1), (25, 0.0, 2, 1.0, 0, 0.0, 1, 0, 1),
+        (5, 0.0, 0, 0.0, 40, 0.0, 1, 0, 1), (8, 0.0, 2, 1.0, 45, 0.0, 1, 0, 1), (4, 0.0, 3, 1.0, 60, 0.0, 1, 0, 1), (14, 0.0, 33, 0.0, 2, 1.0, 1, 0, 1),
         (22, 0.0, 28, 0.0, 30, 0.0, 1, 0, 1), (28, 0.2, 60, 0.0, 60, 0.0, 1, 0, 1), (70, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1),
     ]
 )
@@ -134,7 +140,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             if links:
                 linked.append(s)
 
-    end = len(page)
+    end, by_name = len(page), HAS_CONTENT_TAG.search(page) is None
     while at < end:
         m = MARK.search(page, at)
         if m is None:
@@ -171,7 +177,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             continue
         attributes = m[3]
         called = names(attributes) if len(attributes) > 1 else ()
-        is_content = tag in CONTENT_TAG
+        is_content = tag in CONTENT_TAG or by_name and tag in ("div", "section", "td") and any(x in CONTENT_NAME for x in called)
         marks = COMMENT_NAME if is_content else BOILER_NAME
         is_boiler = tag in BOILER_TAG or tag not in ("html", "body") and (any(x in marks for x in called) or len(attributes) > 1 and HIDDEN.search(attributes) is not None)
         if is_boiler and tag not in BLOCK:
