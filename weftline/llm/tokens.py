@@ -8,8 +8,9 @@ tokenizers library, and remembered up to a bound.
 
 from __future__ import annotations
 
+import gc
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -77,8 +78,19 @@ class Encoder:
             self._store(signed, ids, upto)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts (null: empty), each followed by END_ID, and each text's start, with the end."""
-        texts = pc.fill_null(texts, "")
+        """The ids of all texts (null: empty), each followed by END_ID, and each text's start, with the end.
+
+        The many short lists and strings made here hold no cycles: the collector that looks for these waits.
+        """
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(pc.fill_null(texts, ""))
+        finally:
+            if was:
+                gc.enable()
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         marked = pc.replace_substring(pc.replace_substring(texts, " ", CUT + " "), "\n", CUT + "\n")
         loose = np.asarray(pc.match_substring_regex(texts, SPACE + SPACE))
         if loose.any():
@@ -92,13 +104,15 @@ class Encoder:
         offsets = offsets - offsets[0]
         named = parts.flatten().dictionary_encode()
         pieces = named.dictionary.to_pylist()
-        new = [x for x in pieces if x not in self.slot]
-        if len(self.slot) + len(new) > self.max_pieces:
+        slots = np.fromiter(map(self.slot.get, pieces, repeat(-1)), np.int64, len(pieces))
+        unknown = np.nonzero(slots < 0)[0]
+        if len(self.slot) + len(unknown) > self.max_pieces:
             self._forget()
-            new = pieces
-        if new:
+            unknown = np.arange(len(pieces))
+        if len(unknown):
+            new = [pieces[i] for i in unknown.tolist()]
             self._learn(new)
-        slots = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
+            slots[unknown] = np.fromiter(map(self.slot.__getitem__, new), np.int64, len(new))
         which = np.insert(slots[np.asarray(named.indices)], offsets[1:], 0)  # with an end after each text
         begins = np.concatenate([[0], self.ends[: self.n - 1]])
         sizes, begins = (self.ends[: self.n] - begins)[which], begins[which]
