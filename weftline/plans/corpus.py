@@ -70,7 +70,7 @@ def norm_dedup(s, d):
 
 
 def conflicts(s, d):
-    rows = docs(s, d).join(table(s, d, "labels"), "doc_id").select(F.sha2(F.array_join(F.slice(T.norm_tokens(F.col("text")), 1, 8), " "), 256).alias("h"), "quality", "lang")
+    rows = docs(s, d).select("doc_id", F.sha2(F.array_join(T.norm_tokens(F.col("text")), " "), 256).alias("h"), "lang").join(table(s, d, "labels"), "doc_id")
     return dedup.conflict_groups(rows, "h", "quality", "lang")
 
 
