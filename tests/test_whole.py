@@ -25,3 +25,10 @@ def test_conflicts_by_whole_prompt(spark):
     marks = [(0, 0), (1, 1), (2, 0)]
     got = run(spark, "agg_conflict_groups", documents=(docs, "doc_id long, text string, lang string"), labels=(marks, "doc_id long, quality int"))
     assert [r[1:] for r in got] == [(2, 2, "de,en")]
+
+
+def test_long_duplicates(spark):
+    long = "word " * 1200
+    docs = [(0, long), (1, long.upper() + "!"), (2, long + "more"), (3, "a b"), (4, "A, b")]
+    got = run(spark, "agg_norm_dedup", documents=(docs, "doc_id long, text string"))
+    assert sorted(got) == [(0, 5999), (2, 6004), (3, 3)]

@@ -65,8 +65,9 @@ def exact_audit(s, d):
 
 
 def norm_dedup(s, d):
-    rows = docs(s, d).where(F.length("text") <= 4000).select("doc_id", F.array_join(T.norm_tokens(F.col("text")), " ").alias("k"))
-    return dedup.first_per_key(rows, ["k"], ["doc_id"]).select("doc_id", F.length("k").cast("long").alias("key_len"))
+    both = T.bind(F.array_join(T.norm_tokens(F.col("text")), " "), lambda k: F.struct(F.sha2(k, 256).alias("h"), F.length(k).cast("long").alias("key_len")))
+    rows = docs(s, d).select("doc_id", both.alias("k")).select("doc_id", "k.h", "k.key_len")
+    return dedup.first_per_key(rows, ["h"], ["doc_id"]).select("doc_id", "key_len")
 
 
 def conflicts(s, d):
