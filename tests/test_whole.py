@@ -32,3 +32,17 @@ def test_long_duplicates(spark):
     docs = [(0, long), (1, long.upper() + "!"), (2, long + "more"), (3, "a b"), (4, "A, b")]
     got = run(spark, "agg_norm_dedup", documents=(docs, "doc_id long, text string"))
     assert sorted(got) == [(0, 5999), (2, 6004), (3, 3)]
+
+
+def test_whole_batch_beyond_one_thousand_events(spark):
+    for n in (1203, 1208):  # the whole batch; groups of 8
+        events = [(i, float(i * i % 17)) for i in range(n)]
+        got = dict(run(spark, "win_group_norm_whole_batch", events=(events, "event_id long, value double")))
+        groups = [events[i : i + 8] for i in range(0, n, 8)] if n % 8 == 0 else [events]
+        want = {i: v - sum(x for _, x in g) / len(g) for g in groups for i, v in g}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-5 for i in want)
+
+
+def test_whole_batch_is_no_window(spark):
+    path = folder(spark, events=([(i, float(i)) for i in range(9)], "event_id long, value double"))
+    assert "Window" not in QUERIES["win_group_norm_whole_batch"](spark, path)._jdf.queryExecution().optimizedPlan().toString()

@@ -52,11 +52,14 @@ def built(s, d):
 
 def whole_batch(s, d):
     """Groups by position, or the whole batch as one group if the count isn't groups times size."""
-    o = select.ordinals(events(s, d).where("event_id < 1003").select("event_id", "value"), ["event_id"])
-    n = o.count()
-    g = F.floor(F.col("ord") / 8) if n % 8 == 0 else F.lit(0)
-    w = Window.partitionBy(g)
-    return o.select("event_id", F.round(F.col("value") - F.avg("value").over(w), 6).alias("advantage"))
+    rows = events(s, d).select("event_id", "value")
+    if rows.count() % 8 == 0:
+        o = select.ordinals(rows, ["event_id"])
+        mean = F.avg("value").over(Window.partitionBy(F.floor(F.col("ord") / 8)))
+    else:
+        o = rows.crossJoin(F.broadcast(rows.agg(F.avg("value").alias("m"))))  # one row
+        mean = F.col("m")
+    return o.select("event_id", F.round(F.col("value") - mean, 6).alias("advantage"))
 
 
 def running_shards(s, d):
