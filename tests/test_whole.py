@@ -1,6 +1,9 @@
 """Queries on small tables made so that any cut of rows or texts would show."""
 
+import re
+import string
 import uuid
+from collections import Counter
 
 from weftline.plans import registry
 from weftline.plans.common import shared_folder
@@ -46,3 +49,42 @@ def test_whole_batch_beyond_one_thousand_events(spark):
 def test_whole_batch_is_no_window(spark):
     path = folder(spark, events=([(i, float(i)) for i in range(9)], "event_id long, value double"))
     assert "Window" not in QUERIES["win_group_norm_whole_batch"](spark, path)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def f1_of(a, b):
+    """The reference's rule."""
+    a, b = ([w for w in re.sub(r"\b(a|an|the)\b", " ", "".join(c for c in x.lower() if c not in string.punctuation)).split()] for x in (a, b))
+    lone = ("yes", "no", "noanswer")
+    n = sum((Counter(a) & Counter(b)).values())
+    if not n or a != b and (" ".join(a) in lone or " ".join(b) in lone):
+        return 0.0
+    return 2 * (n / len(a)) * (n / len(b)) / (n / len(a) + n / len(b))
+
+
+def test_f1_of_whole_texts(spark):
+    filler = "filler words here " * 50
+    texts = [filler + "The end, an end.", "end end " + filler, "réa était a la", "réa la", "yes", "Yes!", "yes yes", "", "", "same"]
+    rows = [(i, x, "en" if i % 2 else "fr") for i, x in enumerate(texts)]
+    got = dict(run(spark, "rw_f1", documents=(rows, "doc_id long, text string, lang string")))
+    assert got == {i: round(f1_of(a, b), 6) for i, (a, b) in enumerate(zip(texts, texts[1:]))}
+
+
+def test_whole_texts(spark):
+    common = "x " * 150
+    rows = [(0, common + "alpha beta", "en"), (1, common + "alpha gamma", "de")]
+    schema = "doc_id long, text string, lang string"
+    docs = {"documents": (rows, schema)}
+    assert run(spark, "fn_jaccard", **docs) == [(0, 0.5, round(2 / 3, 6))]
+    assert run(spark, "agg_topn_names", **docs) == [("x", 300), ("alpha", 2), ("beta", 1), ("gamma", 1)]
+    late = [(0, "x " * 150 + "b", "en"), (1, "a", "en")]  # b comes first, 150 words into the earlier text
+    assert run(spark, "agg_topn_names", documents=(late, schema)) == [("x", 150), ("b", 1), ("a", 1)]
+    assert run(spark, "fn_teacher_tokens", **docs) == [(3, 2)]
+    assert sorted(run(spark, "fn_context_projection", **docs)) == [(0, 0, 10.0 * (150 + 5 + 4)), (1, 0, 10.0 * (150 + 5 + 5))]
+    assert sorted(r[1] for r in run(spark, "proj_template_math", **docs)) == [f"Solve:\n{x[1]}\nAnswer:" for x in rows]
+
+
+def test_answers_in_whole_turns(spark):
+    long = "words of a turn " * 20
+    talk = [(0, 0, "user", long + "the answer is (D)."), (0, 1, "user", long + "no more")]
+    got = run(spark, "fn_extract_letter", conversations=(talk, "conv_id long, turn int, role string, text string"))
+    assert sorted(got) == [(0, 0, "D"), (0, 1, "B")]

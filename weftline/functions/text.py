@@ -79,7 +79,7 @@ def alnum_words(x: Column) -> Column:
 def answer_words(x: Column) -> Column:
     """Lower case, ASCII punctuation and English articles out, single spaces."""
     plain = F.regexp_replace(F.lower(x), r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]""", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"(?U)\b(a|an|the)\b", " "), r"(?U)\s+", " "))
 
 
 def token_f1(a: Column, b: Column) -> Column:

@@ -35,7 +35,7 @@ def bucket_means(s, d):
 
 def projection(s, d):
     """Candidates of one vocabulary in another; what has no single partner is masked."""
-    ids = docs(s, d).select("doc_id", F.transform(F.slice(F.split("text", " "), 1, 12), lambda w: F.length(w)).alias("c"))
+    ids = docs(s, d).select("doc_id", F.transform(F.split("text", " "), lambda w: F.length(w)).alias("c"))
     m = F.create_map(*[F.lit(x) for n in range(1, 9) for x in (n, n * 10)])
     got = F.transform("c", lambda x: F.element_at(m, x))
     return ids.select("doc_id", F.size(F.filter(got, lambda x: x.isNull())).cast("long").alias("masked"), A.total(F.filter(got, lambda x: x.isNotNull())).alias("total"))

@@ -120,11 +120,11 @@ def multi_turn(s, d):
 
 
 def letters(s, d):
-    return turns(s, d).select("conv_id", "turn", F.coalesce(T.choice_letter(F.concat(F.left("text", F.lit(60)), F.lit(" the answer is ("), F.substring(F.lit("ABCD"), F.col("turn").cast("int") % 4 + 1, F.lit(1)), F.lit(")"))), F.lit("-")).alias("letter"))
+    return turns(s, d).select("conv_id", "turn", F.coalesce(T.choice_letter(F.concat("text", F.lit(" the answer is ("), F.substring(F.lit("ABCD"), F.col("turn").cast("int") % 4 + 1, F.lit(1)), F.lit(")"))), F.lit("-")).alias("letter"))
 
 
 def f_lines(s, d):
-    x = F.concat(F.lit("Answer: 0\n"), F.left("text", F.lit(30)), F.lit("\nanswer :  "), F.col("conv_id").cast("string"))
+    x = F.concat(F.lit("Answer: 0\n"), F.col("text"), F.lit("\nanswer :  "), F.col("conv_id").cast("string"))
     return turns(s, d).select("conv_id", "turn", T.last_answer_line(x).alias("answer"))
 
 

@@ -74,7 +74,7 @@ def percentile_floor(s, d):
 
 
 def top_names(s, d):
-    words = docs(s, d).select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 20)).alias("i", "word")).withColumn("at", F.col("doc_id") * 100 + F.col("i"))
+    words = docs(s, d).select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "word")).withColumn("at", F.struct("doc_id", "i"))
     return metrics.top_names(words, "word", "at", 30).select("word", "n")
 
 
@@ -149,8 +149,8 @@ def flops(s, d):
 
 def teacher_map(s, d):
     """Symbols of one vocabulary mapped to another, one to one; what has no partner is marked."""
-    a = docs(s, d).where("lang = 'en'").select(F.explode(F.array_distinct(F.split(F.left("text", F.lit(400)), " "))).alias("w")).distinct()
-    b = docs(s, d).where("lang = 'de'").select(F.explode(F.array_distinct(F.split(F.left("text", F.lit(400)), " "))).alias("w")).distinct()
+    a = docs(s, d).where("lang = 'en'").select(F.explode(F.array_distinct(F.split("text", " "))).alias("w")).distinct()
+    b = docs(s, d).where("lang = 'de'").select(F.explode(F.array_distinct(F.split("text", " "))).alias("w")).distinct()
     return a.join(b.withColumn("there", F.lit(True)), "w", "left").agg(F.count("*").alias("n"), F.count("there").alias("mapped"))
 
 

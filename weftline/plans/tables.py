@@ -117,7 +117,7 @@ def dealt(rule):
 
 def template(s, d):
     """Trimmed prompts between fixed texts, with the digest as label."""
-    t = F.trim(F.left("text", F.lit(80)))
+    t = F.trim("text")
     return table(s, d, "documents").select("doc_id", F.concat(F.lit("Solve:\n"), t, F.lit("\nAnswer:")).alias("prompt"), F.concat(F.lit("sha256:"), F.sha2(t, 256)).alias("label"))
 
 
