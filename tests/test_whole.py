@@ -5,6 +5,7 @@ import string
 import uuid
 from collections import Counter
 
+from weftline.operators import batches
 from weftline.plans import registry
 from weftline.plans.common import shared_folder
 
@@ -88,3 +89,15 @@ def test_answers_in_whole_turns(spark):
     talk = [(0, 0, "user", long + "the answer is (D)."), (0, 1, "user", long + "no more")]
     got = run(spark, "fn_extract_letter", conversations=(talk, "conv_id long, turn int, role string, text string"))
     assert sorted(got) == [(0, 0, "D"), (0, 1, "B")]
+
+
+def test_packs_by_tokens(spark):
+    words = [3000 + 37 * i for i in range(12)] + [1]  # 38443 words: ten packs
+    rows = [(i, " ".join(["ab"] * n)) for i, n in enumerate(words)] + [(60, "abc " * 9000)]  # one row: one pack
+    docs = {"documents": (rows, "doc_id long, text string")}
+    got = sorted(run(spark, "pk_sequences", **docs))
+    parts = batches.largest_differencing(words, -(-sum(words) // 4096))
+    want = [(k, sum(words[i] for i in p), len(p) + 1, 2 * sum(words[i] for i in p), max(words[i] for i in p) - 1) for k, p in enumerate(parts)]
+    assert len(want) == 10 and got == [*want, (50, 9001, 2, 27000, 9000)]
+    back = sorted(run(spark, "pk_unpack", **docs))
+    assert back == [*((k, j, 2 * words[i]) for k, p in enumerate(parts) for j, i in enumerate(p)), (50, 0, 27000)]

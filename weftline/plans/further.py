@@ -36,15 +36,20 @@ SELECT doc_id, item_id, bool_or(exact) AS exact, round(max(jaccard), 6) AS jacca
 """
 
 
+def packs(s, d, most=4096):
+    """Word lengths of whole texts in balanced packs: of each step of 50 ids, ceil(tokens / most), but not more than rows."""
+    rows = docs(s, d).select("doc_id", F.floor(F.col("doc_id") / 50).cast("long").alias("step"), F.transform(F.split("text", " "), F.length).alias("t"))
+    rule = lambda x: batches.largest_differencing(x, min(len(x), max(1, -(-sum(x) // most))))
+    part = batches.deal(rows.withColumn("size", F.size("t")), "step", "doc_id", "size", rule).select("doc_id", (F.col("step") * 50 + F.col("part")).alias("pack"))
+    return audit.pack_tokens(rows.join(part, "doc_id"), "pack", "doc_id", "t")
+
+
 def packed(s, d):
-    rows = docs(s, d).select("doc_id", (F.col("doc_id") % 10).alias("pack"), F.transform(F.slice(F.split("text", " "), 1, 7), F.length).alias("t"))
-    p = audit.pack_tokens(rows, "pack", "doc_id", "t")
-    return p.select("pack", F.size("tokens").cast("long").alias("n"), F.size("offsets").cast("long").alias("offsets"), F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.array_max("positions").cast("long").alias("furthest"))
+    return packs(s, d).select("pack", F.size("tokens").cast("long").alias("n"), F.size("offsets").cast("long").alias("offsets"), F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.array_max("positions").cast("long").alias("furthest"))
 
 
 def unpacked(s, d):
-    rows = docs(s, d).select("doc_id", (F.col("doc_id") % 10).alias("pack"), F.transform(F.slice(F.split("text", " "), 1, 7), F.length).alias("t"))
-    u = audit.unpack_tokens(audit.pack_tokens(rows, "pack", "doc_id", "t"), "pack")
+    u = audit.unpack_tokens(packs(s, d), "pack")
     return u.select("pack", F.col("i").cast("long").alias("i"), F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
