@@ -21,8 +21,12 @@ from weftline.llm import shared
 MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>?)|<[!?/][^>]*+>?""", re.S)
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 HIDDEN = re.compile(r"""\shidden(?=[\s>=/])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-#: Elements whose text is never shown as text.
-RAW = frozenset("script style noscript template svg iframe object head title textarea select math canvas audio video".split())
+#: Elements whose text is never shown as text. Without an end tag, those in TO_END reach to the end of the page or of its
+#: head, as in browsers, and of others only the tag goes. A head's own elements are in RAW or VOID, so it needs no rule.
+RAW = frozenset("script style noscript template svg iframe object title textarea select canvas audio video annotation annotation-xml".split())
+TO_END = frozenset("script style noscript template iframe title textarea".split())
+HEAD_END = r"|</head\b[^>]*>?|(?=<body\b)"
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -141,6 +145,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
                 linked.append(s)
 
     end, by_name = len(page), HAS_CONTENT_TAG.search(page) is None
+    head, missing = False, set()  # missing: elements without an end tag from here on
     while at < end:
         m = MARK.search(page, at)
         if m is None:
@@ -150,6 +155,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         at, tag = m.end(), (m[2] or "").lower()
         if not tag:
             continue
+        head = not m[1] if tag == "head" else head and tag in IN_HEAD
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
@@ -163,10 +169,17 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
                 if tag in BLOCK:
                     close()
             continue
+        if tag == "head":
+            continue
         if tag in RAW:
             if not m[3].endswith("/>"):
-                found = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-                at = found.end() if found else end
+                found = None if tag in missing else re.compile(rf"</{tag}\b[^>]*>?" + (HEAD_END if head and tag == "title" else ""), re.I).search(page, at)
+                if found is None:
+                    missing.add(tag)
+                    if tag in TO_END:
+                        found = re.compile(HEAD_END[1:], re.I).search(page, at) if head else None
+                        at = end if found is None else at
+                at = found.end() if found else at
             continue
         if tag == "br":
             text.append(" ")
