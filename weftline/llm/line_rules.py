@@ -87,6 +87,9 @@ def line_features(lines: list[str]) -> np.ndarray:
     return np.array(out, float).reshape(-1, N_FEATURES)
 
 
+LINES = 1 << 18
+
+
 class Field:
     """State 1 is content. w: weights of a line's features for it; start, change: of the first and adjacent states."""
 
@@ -95,7 +98,11 @@ class Field:
 
     def fit(self, xs: list[np.ndarray], ys: list[np.ndarray], rounds: int = 150, rate: float = 0.5, decay: float = 1e-3) -> Field:
         order = sorted((i for i in range(len(xs)) if len(xs[i])), key=lambda i: len(xs[i]))
-        groups = [order[i : i + 256] for i in range(0, len(order), 256)]  # of like lengths
+        groups = []  # of like lengths, at most 256 documents and, but for a longer one alone, LINES lines when padded
+        for i in order:
+            if not groups or len(groups[-1]) == 256 or (len(groups[-1]) + 1) * len(xs[i]) > LINES:
+                groups.append([])
+            groups[-1].append(i)
         padded = []
         for g in groups:
             t = max(len(xs[i]) for i in g)
@@ -171,9 +178,9 @@ def content_share(text: str | None, field: Field) -> float:
     return float((sizes * field.decode(line_features(lines))).sum() / sizes.sum()) if lines else 0.0
 
 
-def train(docs: DataFrame, labels: DataFrame, most_docs: int = 2000, most_lines: int = 400) -> Field:
+def train(docs: DataFrame, labels: DataFrame, most_docs: int = 2000) -> Field:
     """Fits on SEQUENCES and at most most_docs labelled documents (by hash of doc_id; those with crc32 mod 5 of 0
-    are never used), of each the first most_lines lines. Without labels, SEQUENCES alone serve."""
+    are never used), with all their lines. Without labels, SEQUENCES alone serve."""
     marks = labels.where((F.col("quality").isin(0, 1)) & (shared.id_remainder("doc_id", 5) != 0)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
     rows = docs.join(F.broadcast(marks), "doc_id").select("doc_id", "text", "quality")
@@ -181,12 +188,12 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = 2000, most_lines:
     def get(batches):
         for batch in batches:
             for doc, text, quality in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                x = line_features((text or "").split("\n")[:most_lines])
+                x = line_features((text or "").split("\n"))
                 if len(x):
-                    yield pa.RecordBatch.from_pylist([{"doc_id": doc, "quality": quality, "x": x.reshape(-1).tolist()}], pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("x", pa.list_(pa.float64()))]))
+                    yield pa.RecordBatch.from_pylist([{"doc_id": doc, "quality": quality, "x": x.tobytes()}], pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("x", pa.binary())]))
 
-    got = rows.mapInArrow(get, "doc_id long, quality int, x array<double>").orderBy("doc_id", "quality", F.size("x")).limit(most_docs).collect()
-    xs = [line_features([x for x, _ in s]) for s in SEQUENCES] + [np.array(r.x).reshape(-1, N_FEATURES) for r in got]
+    got = rows.mapInArrow(get, "doc_id long, quality int, x binary").orderBy("doc_id", "quality", F.length("x")).limit(most_docs).collect()
+    xs = [line_features([x for x, _ in s]) for s in SEQUENCES] + [np.frombuffer(r.x).reshape(-1, N_FEATURES) for r in got]
     ys = [np.array([y for _, y in s]) for s in SEQUENCES] + [np.array(r.quality * (1 - x[:, -1]), int) for r, x in zip(got, xs[len(SEQUENCES) :])]
     return Field().fit(xs, ys)
 
