@@ -41,7 +41,6 @@ def ids_of(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [[*t.encode(x or "", add_special_tokens=False).ids, 0] for x in texts]
 
 
@@ -55,6 +54,27 @@ def test_token_blocks(spark, docs, none):
     assert token_blocks.read_blocks(token_blocks.write_blocks(none, spark, PATH)).count() == 0
 
 
+def test_encoder_against_the_library():
+    """Random texts of awkward parts, cut into pieces and parts, with a memory that is often full."""
+    import random
+
+    import pyarrow as pa
+
+    from weftline.llm import tokens
+
+    rng, size = random.Random(5), tokens.LONG
+    some = ["a", "word", "it's", " ", "  ", "\n", "\t", ".", ",", "<|endoftext|>", "é", "中", "。", "3", "\x1f", "\u3000", "😀", "×", "ß.", "don't.", "X", "|"]
+    try:
+        tokens.LONG = 40
+        for most in (1000, 1 << 20):
+            enc = tokens.Encoder(PATH, most)
+            texts = ["".join(rng.choices(some, k=rng.randint(0, 60))) for _ in range(400)] + [None]
+            ids, starts = enc.encode(pa.array(texts))
+            assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == ids_of(texts)
+    finally:
+        tokens.LONG = size
+
+
 def test_html(spark):
     long = "<article><p>" + "x y " * 50_000 + "</p></article>"
     rows = [(1, "u", None, "old"), (2, None, "", "old"), (3, "u", "<p", "old"), (3, "u", "<p", "old"), (4, "u", long, "old"), (5, "u", "<nav>a</nav><article>b &amp; c<br>d<p>e<div class=ad>f</div>", "old")]
@@ -157,8 +177,31 @@ def test_mixing(spark, docs, none):
     assert len(got) == len(ROWS) and all(0 <= r.copies <= 3 for r in got)
     assert out.count() == sum(r.copies for r in got)
     assert mixing.mix(none, spark).count() == 0
-    goal = mixing.targets([("a", 10), ("b", 1000), (None, 0), ("c", 90)])
-    assert goal["a"] == 30 and goal["c"] == 270 and goal[None] == 0 and abs(sum(goal.values()) - 1100) < 1e-9
+
+
+def shares(sizes, weights=(1, 2, 3), most=3):
+    """Targets by the rule as it is told: share by weight, fix those above their limit, share the rest again."""
+    order = sorted(sizes, key=lambda r: (r[0] is None, (r[0] or "").encode()))
+    free = {s: (weights[i % len(weights)], n) for i, (s, n) in enumerate(order)}
+    out, left = {}, sum(n for _, n in sizes)
+    while free:
+        weight = sum(w for w, _ in free.values())
+        over = [s for s, (w, n) in free.items() if left * w > most * n * weight]
+        if not over:
+            return out | {s: w * (left / weight) for s, (w, _) in free.items()}
+        for s in over:
+            out[s] = float(most * free[s][1])
+            left -= most * free.pop(s)[1]
+    return out
+
+
+def test_targets_against_sharing_again_and_again(spark):
+    rng = np.random.default_rng(4)
+    cases = [[("a", 10), ("b", 1000), (None, 0), ("c", 90)], [("x", 5)], [("x", 0), (None, 0)], []]
+    cases += [[(f"h{i}\u00e9" if i % 3 else f"H{i}", int(rng.integers(0, 10 ** rng.integers(1, 15)))) for i in range(int(rng.integers(2, 60)))] for _ in range(3)]
+    for sizes in cases:
+        got = mixing.targets(spark.createDataFrame(sizes, "source string, source_size long").repartition(3), spark).collect()
+        assert {r.source: (r.source_size, r.target) for r in got} == {s: (n, shares(sizes)[s]) for s, n in sizes}
 
 
 def test_line_dedup(spark, docs, none, duck):

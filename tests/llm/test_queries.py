@@ -35,7 +35,6 @@ def ids_of(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return {d: np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4") for d, x in texts.items()}
 
 

@@ -2,15 +2,15 @@
 
 A byte-level BPE cuts a text into pre-tokens before it merges, and a run of white space always begins a
 new one. So a text may be cut before every such run, and each distinct piece be encoded once: the ids of
-the pieces, put together, are the ids of the text. Pieces are found and numbered in Arrow, encoded by the
-tokenizers library, and remembered up to a bound.
+the pieces, put together, are the ids of the text. Pieces are found, numbered and remembered in Arrow
+arrays, which hold no object for each piece, and encoded by the tokenizers library.
 """
 
 from __future__ import annotations
 
-import gc
+import re
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,28 +19,52 @@ import pyarrow.compute as pc
 CUT = "\x1f"
 #: White space as the tokenizer's own pattern takes it (Unicode White_Space).
 SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: A letter and one sign at the end: the sign is a pre-token of its own.
+SIGNED = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}][.,]$"
+SIGNS = (".", ",")
+#: Places where a long text may be cut: before white space that follows something else, or before a sign that
+#: follows a letter, for texts without white space. No string of a special token has either inside.
+_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PLACE = re.compile(f"(?<=[^{_SPACES}])[{_SPACES}]|(?<=[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f\u3041-\u3096\u4e00-\u9fff\uac00-\ud7a3])[.,;:!?\u3001\u3002\uff0c]")
 END_ID = 0
+LONG = 1 << 20
+
+
+def cuts(text: str, size: int) -> list[str]:
+    """The text in parts of about `size` characters whose ids, put together, are its ids."""
+    out, at = [], 0
+    while len(text) - at > size:
+        m = PLACE.search(text, at + size)
+        if not m:
+            break
+        out.append(text[at : m.start()])
+        at = m.start()
+    return [*out, text[at:]]
 
 
 class Encoder:
-    """Ids of texts. Strings of special tokens in a text are ordinary text.
+    """Ids of texts, as the tokenizers library gives them for add_special_tokens=False.
 
-    max_pieces bounds the remembered pieces; beyond it the memory starts anew.
+    max_bytes bounds the remembered pieces with their ids; beyond it the memory starts anew.
     """
 
-    def __init__(self, path: str, max_pieces: int = 700_000):
+    def __init__(self, path: str, max_bytes: int = 40 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.max_pieces = max_pieces
+        self.max_bytes = max_bytes
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[str, int] = {}  # slot 0 has the end id
+        self.pieces = pa.array([], pa.string())  # piece i has slot i + 1; slot 0 has the end id
         self.ids, self.ends, self.n = np.full(1 << 16, END_ID, np.uint32), np.ones(1 << 14, np.int64), 1
+        self._encoded(pa.array(SIGNS))
 
-    def _store(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+    def _slots(self, pieces: pa.Array) -> np.ndarray:
+        """Of each piece, 0 if it isn't remembered."""
+        return np.asarray(pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1)).astype(np.int64) + 1
+
+    def _store(self, pieces: pa.Array, ids: np.ndarray, ends: np.ndarray) -> None:
         """ends: of each piece's ids among ids."""
         start, most = int(self.ends[self.n - 1]), self.n + len(pieces)
         if most > len(self.ends):
@@ -49,25 +73,45 @@ class Encoder:
             self.ids = np.resize(self.ids, max(start + len(ids), 2 * len(self.ids)))
         self.ends[self.n : most] = start + ends
         self.ids[start : start + len(ids)] = ids
-        self.slot.update(zip(pieces, range(self.n, most)))
+        self.pieces = pa.concat_arrays([self.pieces, pieces])
         self.n = most
 
-    def _learn(self, pieces: list[str]) -> None:
-        """A letter, then one full stop or comma at the end: that sign is a pre-token of its own, so only
-        what stands before it is encoded."""
-        signed = [x for x in pieces if x[-1:] in (".", ",") and x[-2:-1].isalpha()]
-        cores = dict.fromkeys(x[:-1] for x in signed)
-        new = [x for x in pieces if x not in cores and not (x[-1:] in (".", ",") and x[-2:-1].isalpha())]
-        new += [x for x in cores if x not in self.slot]
-        new += [x for x in (".", ",") if x not in self.slot and x not in cores and x not in new[:2]]
-        new = list(dict.fromkeys(new))
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        counts = np.fromiter(map(len, got), np.int64, len(got))
-        self._store(new, np.fromiter(chain.from_iterable(got), np.uint32, int(counts.sum())), np.cumsum(counts))
-        if signed:
-            at = np.fromiter((self.slot[x[:-1]] for x in signed), np.int64, len(signed))
-            sign = self.ids[self.ends[np.fromiter((self.slot[x[-1]] for x in signed), np.int64, len(signed))] - 1]
-            begins, ends = self.ends[at - 1], self.ends[at]
+    def _encoded(self, pieces: pa.Array, step: int = 1 << 14) -> None:
+        """Remembers different pieces by the library's ids for them."""
+        for at in range(0, len(pieces), step):
+            some = pieces.slice(at, step)
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(some.to_pylist(), add_special_tokens=False)]
+            counts = np.fromiter(map(len, got), np.int64, len(got))
+            self._store(some, np.fromiter(chain.from_iterable(got), np.uint32, int(counts.sum())), np.cumsum(counts))
+
+    def _found(self, pieces: pa.Array) -> np.ndarray:
+        """The slots of different pieces, those that were unknown now remembered.
+
+        Of an unknown piece that ends in a sign only what stands before the sign is encoded. Remembered pieces are
+        looked up once, which takes longer than the rest: SIGNS and then new ones take the slots in their order.
+        """
+        signed = np.asarray(pc.match_substring_regex(pieces, SIGNED))
+        cores = pc.utf8_slice_codeunits(pieces.filter(pa.array(signed)), 0, -1)
+        slots = self._slots(pa.concat_arrays([pieces, cores]))
+        slots, core_slots = slots[: len(pieces)], slots[len(pieces) :]
+        new = slots == 0
+        if not new.any():
+            return slots
+        if self.pieces.nbytes + self.ids.nbytes + self.ends.nbytes > self.max_bytes:
+            self._forget()
+            slots[:], core_slots[:], new[:] = 0, 0, True
+        ending = pieces.filter(pa.array(new & signed))
+        asked = new[signed]  # the cores that are needed
+        cores, core_slots = cores.filter(pa.array(asked)), core_slots[asked]
+        unknown = pa.concat_arrays([pieces.filter(pa.array(new & ~signed)), cores.filter(pa.array(core_slots == 0))]).dictionary_encode()
+        places = self.n + np.asarray(unknown.indices).astype(np.int64)
+        self._encoded(unknown.dictionary)
+        n_plain = int((new & ~signed).sum())
+        slots[new & ~signed] = places[:n_plain]
+        core_slots[core_slots == 0] = places[n_plain:]
+        if len(ending):
+            sign = np.where(np.asarray(pc.ends_with(ending, ".")), *(self.ids[self.ends[k] - 1] for k in (1, 2)))
+            begins, ends = self.ends[core_slots - 1], self.ends[core_slots]
             upto = np.cumsum(ends - begins + 1)
             ids = np.zeros(int(upto[-1]), np.uint32)
             ids[upto - 1] = sign
@@ -75,20 +119,37 @@ class Encoder:
             rest[upto - 1] = False
             size = ends - begins
             ids[rest] = self.ids[np.repeat(begins - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-            self._store(signed, ids, upto)
+            slots[new & signed] = self.n + np.arange(len(ending))
+            self._store(ending, ids, upto)
+        return slots
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: empty), each followed by END_ID, and each text's start, with the end.
 
-        The many short lists and strings made here hold no cycles: the collector that looks for these waits.
+        Texts of more than LONG bytes are encoded in parts, so that beside the texts and their ids the
+        working memory is bounded by the remembered pieces and what a run of texts of LONG bytes takes.
         """
-        was = gc.isenabled()
-        gc.disable()
-        try:
-            return self._encode(pc.fill_null(texts, ""))
-        finally:
-            if was:
-                gc.enable()
+        texts = pc.fill_null(texts, "")
+        sizes = np.asarray(pc.binary_length(texts))
+        out, lengths, at = [], [], 0
+        while at < len(texts):
+            if sizes[at] > LONG:
+                parts = [self._encode(pa.array([x]))[0][:-1] for x in cuts(texts[at].as_py(), LONG)]
+                out += [*parts, np.array([END_ID], np.uint32)]
+                lengths.append([1 + sum(map(len, parts))])
+                at += 1
+                continue
+            upto = np.cumsum(sizes[at : at + (1 << 16)])
+            n = max(1, int(np.searchsorted(upto, 4 * LONG, side="right")))
+            long = np.nonzero(sizes[at : at + n] > LONG)[0]
+            n = int(long[0]) if len(long) else n
+            ids, starts = self._encode(texts.slice(at, n))
+            out.append(ids)
+            lengths.append(np.diff(starts))
+            at += n
+        if not out:
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        return np.concatenate(out), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         marked = pc.replace_substring(pc.replace_substring(texts, " ", CUT + " "), "\n", CUT + "\n")
@@ -103,16 +164,7 @@ class Encoder:
         offsets = np.asarray(parts.offsets, dtype=np.int64)
         offsets = offsets - offsets[0]
         named = parts.flatten().dictionary_encode()
-        pieces = named.dictionary.to_pylist()
-        slots = np.fromiter(map(self.slot.get, pieces, repeat(-1)), np.int64, len(pieces))
-        unknown = np.nonzero(slots < 0)[0]
-        if len(self.slot) + len(unknown) > self.max_pieces:
-            self._forget()
-            unknown = np.arange(len(pieces))
-        if len(unknown):
-            new = [pieces[i] for i in unknown.tolist()]
-            self._learn(new)
-            slots[unknown] = np.fromiter(map(self.slot.__getitem__, new), np.int64, len(new))
+        slots = self._found(named.dictionary)
         which = np.insert(slots[np.asarray(named.indices)], offsets[1:], 0)  # with an end after each text
         begins = np.concatenate([[0], self.ends[: self.n - 1]])
         sizes, begins = (self.ends[: self.n] - begins)[which], begins[which]
@@ -124,5 +176,5 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One for each worker process and vocabulary file."""
+    """One for each worker process and vocabulary file, bounded in bytes."""
     return Encoder(path)
