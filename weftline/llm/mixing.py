@@ -16,28 +16,46 @@ from weftline.llm import shared
 MOST = 3  # copies
 
 
-def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> dict[str | None, float]:
-    """Words of each source: by weight, at most `most` times its size, the excess shared anew.
-
-    Weights go round the sources in order of code points, null last. The comparisons are of whole numbers.
-    """
-    order = sorted((s is None, (s or "").encode(), s, n) for s, n in sizes)
-    free = {s: (weights[i % len(weights)], n) for i, (_, _, s, n) in enumerate(order)}
-    out, left = {}, sum(n for _, n in sizes)
-    while free:
-        weight = sum(w for w, _ in free.values())
-        over = [s for s, (w, n) in free.items() if left * w > most * n * weight]
-        if not over:
-            return out | {s: w * (left / weight) for s, (w, _) in free.items()}
-        for s in over:
-            n = free.pop(s)[1]
-            out[s] = float(most * n)
-            left -= most * n
-    return out
+WEIGHTS = (1, 2, 3)
 
 
 def n_words(text: str = "text"):
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(shared.WORD)), F.lit(0)).cast("long")
+    """Words of a text (null: 0), each made one letter and counted, so that no array of them is held."""
+    marks = F.translate(F.regexp_replace(F.col(text), shared.WORD, "x"), " \t\n\x0b\x0c\r", "")
+    return F.coalesce(F.length(marks), F.lit(0)).cast("long")
+
+
+def in_order(rows: DataFrame, order: list, spark: SparkSession, what: str) -> DataFrame:
+    """rows in a written table, sorted by ranges of the order, with _task and the place in it, _at."""
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    return shared.written(sorted_rows, spark, what).withColumn("_task", F.shiftright("_at", 33))
+
+
+def targets(sizes: DataFrame, spark: SparkSession, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """sizes (source, source_size: whole numbers, a row for each source) with target.
+
+    Weights go round the sources in order of code points, null last; a target is its weight's share, at most `most`
+    times the size, the excess shared anew. Sources may be very many: they are ranked by ranges, and each round of
+    sharing is one aggregate, of which the driver gets one row. The comparisons are of whole numbers.
+    """
+    ranked = in_order(sizes, [F.col("source").isNull(), "source"], spark, "mix-sources")
+    firsts = ranked.groupBy("_task").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = ranked.join(firsts.select("_task", "_first", before.alias("_before")), "_task")
+    place = F.pmod(F.col("_at") - F.col("_first") + F.col("_before"), F.lit(len(weights))).cast("int")
+    ranked = ranked.select("source", "source_size", F.get(F.array(*map(F.lit, weights)), place).cast("long").alias("_w"))
+    total, all_weight = ranked.agg(F.sum(F.col("source_size").cast("decimal(24,0)")), F.sum("_w")).first()
+    total, all_weight = int(total or 0), int(all_weight or 0)
+    left, weight, n_over, over = total, all_weight, 0, F.lit(False)
+    while weight:
+        room = (most * F.col("source_size")).cast("decimal(20,0)") * F.lit(weight).cast("decimal(16,0)")
+        over = F.lit(left).cast("decimal(24,0)") * F.col("_w").cast("decimal(4,0)") > room
+        n, held, held_weight = ranked.where(over).agg(F.count("*"), F.sum(F.col("source_size").cast("decimal(24,0)")), F.sum("_w")).first()
+        if n == n_over:
+            break
+        n_over, left, weight = n, total - most * int(held), all_weight - held_weight
+    share = left / weight if weight else 0.0
+    return ranked.select("source", "source_size", F.when(over, (most * F.col("source_size")).cast("double")).otherwise(F.col("_w") * F.lit(share)).alias("target"))
 
 
 def copies(rows: DataFrame, spark: SparkSession, seed: str = "mix") -> DataFrame:
@@ -45,16 +63,12 @@ def copies(rows: DataFrame, spark: SparkSession, seed: str = "mix") -> DataFrame
 
     Every row is ranked in its source by size and the further columns; equal rows take consecutive ranks.
     A source's rows lie in as many tasks as they need: a task numbers its own, and one number for each task
-    and source, the rows before, is added. The driver gets one row for each source.
+    and source, the rows before, is added. rows is read twice, so it had better be a written table.
     """
     others = [c for c in rows.columns if c not in ("source", "size")]
-    order = ["source", "size", *others]
-    ranked = shared.written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), spark, "mix-order")
-    ranked = ranked.withColumn("_task", F.shiftright("_at", 33))
+    ranked = in_order(rows, ["source", "size", *others], spark, "mix-order")
     part = ranked.groupBy("source", "_task").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"), F.sum("size").alias("_words"))
-    totals = [(r[0], int(r[1])) for r in part.groupBy("source").agg(F.sum("_words")).collect()]
-    goal = targets(totals)
-    small = spark.createDataFrame([(s, n, goal[s]) for s, n in totals], "source string, source_size long, target double")
+    small = shared.written(targets(part.groupBy("source").agg(F.sum("_words").alias("source_size")), spark), spark, "mix-targets")
     before = Window.partitionBy("source").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     part = part.join(small, part["source"].eqNullSafe(small["source"])).select(part["source"].alias("_source"), part["_task"].alias("_part"), "_first", "_before", "source_size", "target")
@@ -67,6 +81,11 @@ def copies(rows: DataFrame, spark: SparkSession, seed: str = "mix") -> DataFrame
     return joined.select(*rows.columns, "source_size", "target", (F.floor(rate) + crossed).cast("long").alias("copies"))
 
 
+def sizes_of(docs: DataFrame, spark: SparkSession, *more: str) -> DataFrame:
+    """source, size, doc_id and a hash of the text, from one pass over the texts, in a written table."""
+    return shared.written(docs.select("source", n_words().alias("size"), "doc_id", F.md5("text").alias("tie"), *more), spark, "mix-sizes")
+
+
 def mix(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """docs (doc_id, text, source, other columns) with each row repeated as often as the mix takes it.
 
@@ -74,7 +93,7 @@ def mix(docs: DataFrame, spark: SparkSession) -> DataFrame:
     numbered once in a written table, so equal rows are told apart.
     """
     numbered = shared.written(docs.withColumn("_row", F.monotonically_increasing_id()), spark, "mix-rows")
-    taken = copies(numbered.select("source", n_words().alias("size"), "doc_id", F.md5("text").alias("tie"), "_row"), spark)
+    taken = copies(sizes_of(numbered, spark, "_row"), spark)
     keep = taken.where("copies > 0").select("_row", F.col("copies").alias("_copies"))
     return numbered.join(keep, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
@@ -82,8 +101,7 @@ def mix(docs: DataFrame, spark: SparkSession) -> DataFrame:
 def op7_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every row of `documents`: doc_id, size, source_size, target, taken."""
     docs = shared.table(spark, sf_dir, "documents")
-    rows = docs.select("source", n_words().alias("size"), "doc_id", F.md5("text").alias("tie"))
-    return copies(rows, spark).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return copies(sizes_of(docs, spark), spark).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 #: The same in SQL: the sources that reach their limit are a prefix in order of limit over weight.
