@@ -247,16 +247,71 @@ def vectors(spark, rows):
 
 def test_neighbours(spark):
     nan, inf = float("nan"), float("inf")
-    bad = [(100, None, "x"), (101, [0.0, 0.0], "x"), (102, [nan, 1.0], "x"), (103, [inf, 1.0], "x"), (104, [1.0, None], "x"), (105, [], "x"), (None, [1.0, 1.0], "x"), (106, [1.0], "x")]
+    bad = [(100, None, "x"), (101, [0.0, 0.0], "x"), (102, [nan, 1.0], "x"), (103, [inf, 1.0], "x"), (104, [1.0, None], "x"), (105, [], "x"), (None, [1.0, 1.0], "x")]
+    odd = [(106, [2.0], "x"), (107, [3.0], "x"), (109, [1.0], "x"), (110, [1.0, 2.0, 3.0], "x")]  # other lengths
     rows = [(i, [1.0, float(i // 3)], "x") for i in range(9)] + [(3, [1.0, 1.0], "x")]
-    got = neighbours.search(vectors(spark, rows + bad), spark, lambda c: F.col(c) % 2 == 0, k=20).orderBy("query_id", "rank").collect()
-    assert [r.vec_id for r in got if r.query_id == 0] == list(range(1, 9))  # all tie; the smaller id first
-    assert [r.vec_id for r in got if r.query_id == 8] == [6, 7, 3, 4, 5, 0, 1, 2]
-    assert {r.query_id for r in got} == {0, 2, 4, 6, 8}
+    got = neighbours.search(vectors(spark, rows + bad + odd), spark, lambda c: F.col(c) % 2 == 0, k=20).orderBy("query_id", "rank").collect()
+    assert [r.vec_id for r in got if r.query_id == 0] == [1, 2, 3, 3, 4, 5, 6, 7, 8]  # all tie; the smaller id first
+    assert [r.vec_id for r in got if r.query_id == 8] == [6, 7, 3, 3, 4, 5, 0, 1, 2]
+    assert [(r.vec_id, r.score) for r in got if r.query_id == 106] == [(107, 6.0), (109, 2.0)]
+    assert {r.query_id for r in got} == {0, 2, 4, 6, 8, 106}  # 110 has no other row of its length
     for rest in (bad, [], rows[1:2]):
         assert neighbours.search(vectors(spark, rest), spark, lambda c: F.col(c) % 2 == 0).count() == 0
 
 
+def nearest(x, ids, queries, k):
+    """By brute force: the score of the k-th nearest and the ids of the nearest, for each query."""
+    for q in queries:
+        s = x @ x[q]
+        s[q] = -np.inf
+        top = np.lexsort((ids, -s))[:k]
+        yield ids[q], ids[top].tolist(), s[top]
+
+
+def test_routed_neighbours_of_clusters(spark):
+    """20,000 vectors in clusters: queries try few parts and find nearly all; small blocks and runs change nothing."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(120, 24)) * 3
+    x = (centres[rng.integers(0, 120, 20_000)] + rng.normal(size=(20_000, 24))).astype(np.float32).astype(float)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(8)
+    seen = {}
+    real = neighbours.fit
+
+    def fit(*args, **named):
+        seen["router"] = real(*args, **named)
+        return seen["router"]
+
+    neighbours.fit = fit
+    try:
+        got = neighbours.search(rows, spark, lambda c: F.col(c) % 100 == 0, k=20, block=3000, run=50, chunk=500)
+        found = {}
+        for r in got.collect():
+            found.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    finally:
+        neighbours.fit = real
+    router = seen["router"]
+    parts = router.weights.shape[1]
+    tried = router.tried(router.order(x[::100])[1])
+    assert parts >= 16 and tried.mean() < parts / 2
+    hit = 0
+    for q, ids, scores in nearest(x, np.arange(len(x)), range(0, len(x), 100), 20):
+        assert sorted(found[q]) == list(range(1, 21))
+        assert all(abs(s - x[q] @ x[v]) < 1e-9 for v, s in found[q].values())
+        hit += len({v for v, _ in found[q].values()} & set(ids))
+    assert hit >= 0.9 * 20 * 200
+
+
+def test_best_against_brute_force_with_ties(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(-2, 3, (700, 3)).astype(float)  # very many ties
+    ids, rows = rng.permutation(700).astype(np.int64), np.arange(700)
+    run = neighbours.Run(x[::7], rows[::7], ids[::7], 20)
+    for at in range(0, 700, 90):
+        run.add(x[at : at + 90], rows[at : at + 90], ids[at : at + 90])
+    for i, (_, want, scores) in enumerate(nearest(x, ids, range(0, 700, 7), 20)):
+        assert run.found[i].tolist() == want and np.allclose(run.scores[i], scores)
+
+
 def test_packing(spark, docs, none):
     parts = packing.pieces(docs.withColumn("piece", F.lit(9)), PATH, 64)
     got = packing.pack(parts, spark, 64, slack=2, carry=2, fan=2).collect()
