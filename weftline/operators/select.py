@@ -7,24 +7,24 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.sources.kept import kept
+
 
 def ordinals(rows: DataFrame, order: list[str], name: str = "ord") -> DataFrame:
     """rows with their place (from 0) by order, without sending all of them to one task.
 
-    Rows are sorted by ranges; a task numbers its own, and the rows in the tasks before are added. The driver
-    gets one number for each task. order must tell rows apart.
+    Rows are sorted by ranges into a written table, since ranges that are sampled anew at every use would not agree;
+    a task numbers its own, and the rows in the tasks before are added, which a window over one row for each task
+    counts. Nulls come first. Rows that the order doesn't tell apart take consecutive places; an empty table stays
+    empty. The names _at, _task and _before are reserved.
     """
     parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    counts = sorted(parts.groupBy(F.shiftright("_at", 33).alias("p")).count().collect())
-    before, total = [], 0
-    for p, n in counts:
-        before.append((p, total))
-        total += n
-    if not before:
-        return rows.withColumn(name, F.lit(0).cast("long"))
-    start = F.create_map(*[F.lit(v) for pair in before for v in pair])
-    local = F.col("_at") - F.shiftleft(F.shiftright("_at", 33), 33)
-    return parts.withColumn(name, local + F.element_at(start, F.shiftright("_at", 33))).drop("_at")
+    parts = kept(parts, "ordinals").withColumn("_task", F.shiftright("_at", 33))
+    counts = parts.groupBy("_task").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_task", F.coalesce(before, F.lit(0)).alias("_before"))
+    local = F.col("_at") - F.shiftleft("_task", 33)
+    return parts.join(starts, "_task").select(*rows.columns, (local + F.col("_before")).alias(name))
 
 
 def hash_order(seed: int | str, id_col: str) -> Column:

@@ -1,33 +1,18 @@
-"""Tables of a scale-factor folder, and a table in the shared folder."""
+"""Tables of a scale-factor folder, and tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
+from weftline.sources.kept import kept, shared_folder
+
+__all__ = ["keeper", "kept", "shared_folder", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new name below spark.checkpoint.dir; where that is unset, as in tests on one machine, below a temporary folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="weftline-"))
-    return f"{base.rstrip('/')}/weftline/{what}-{uuid.uuid4().hex[:12]}"
-
-
 def keeper(spark: SparkSession, what: str):
     """A function that writes a table to the shared folder and reads it back, which cuts lineage."""
-
-    def keep(df: DataFrame) -> DataFrame:
-        path = shared_folder(spark, what)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return keep
+    return lambda df: kept(df, what)
