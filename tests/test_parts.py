@@ -120,10 +120,57 @@ def test_greedy_duplicates_against_a_scan(spark):
             want[x] = min(hit)
         else:
             kept.add(x)
-    got = dedup.greedy_representatives(spark.createDataFrame(sorted(pairs), "a long, b long"), spark, keeper(spark, "greedy"))
+    rows = [(a, b, False) for a, b in sorted(pairs)] + [(x, 1000 + x, True) for x in (0, 7, 59)]
+    want |= {1000 + x: want.get(x, x) for x in (0, 7, 59)}  # copies of rows
+    got = dedup.greedy_representatives(spark.createDataFrame(rows, "a long, b long, same boolean"), spark, keeper(spark, "greedy"))
     assert {r.removed: r.representative for r in got.collect()} == want
 
 
+def test_near_pairs_against_all_pairs(spark):
+    rng = random.Random(9)
+    texts = {}
+    for i in range(60):
+        words = [f"w{i % 12}x{j}" for j in range(rng.randint(3, 40))]
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(len(words))] = f"new{i}"
+        texts[i] = " ".join(words)
+    texts |= {100 + i: texts[5] + " tail" for i in range(9)} | {200: "", 201: None, 202: "a b"}
+    rows = [(i, x, rng.choice(["en", "de", None])) for i, x in texts.items()]
+    got = {(r.a, r.b): (round(r.jaccard, 9), r.same) for r in dedup.near_pairs(spark.createDataFrame(rows, "id long, text string, lang string"), "id", "text", "lang", 5, 0.6).collect()}
+    sets = {i: (lang, frozenset(zip(*((x or "").split()[k:] for k in range(5))))) for i, x, lang in rows}
+    first = {}
+    for i in sorted(sets):
+        if sets[i][1]:
+            first.setdefault(sets[i], i)
+    want = {(first[v], i): (1.0, True) for i, v in sets.items() if v[1] and first[v] != i}
+    reps = sorted(first.values())
+    for a in reps:
+        for b in reps:
+            if a < b and sets[a][0] == sets[b][0]:
+                x, y = sets[a][1], sets[b][1]
+                if len(x & y) / len(x | y) >= 0.6:
+                    want[a, b] = (round(len(x & y) / len(x | y), 9), False)
+    assert got == want and any(not same for _, same in want.values())
+
+
+def test_ten_thousand_copies_give_linear_output(spark):
+    copies = spark.range(10_000).select("id", F.lit("one two three four five six seven").alias("text"), F.lit("en").alias("lang"))
+    got = dedup.near_pairs(copies, "id", "text", "lang", 5, 0.8)
+    assert got.count() == 9999 and got.where("same and a = 0").count() == 9999
+
+
+def test_ordinals_of_a_table_beyond_the_range_sample(spark):
+    """Bounds that are sampled anew at every use give wrong places; one column, and several with ties."""
+    rows = spark.range(1_000_000).select(F.xxhash64("id").alias("h"), (F.xxhash64("id") % 1000).alias("k"), "id")
+    for order in (["h"], ["k", "h"]):
+        o = select.ordinals(rows, order)
+        n, lo, hi, k = o.agg(F.count("*"), F.min("ord"), F.max("ord"), F.countDistinct("ord")).first()
+        assert (n, lo, hi, k) == (1_000_000, 0, 999_999, 1_000_000)
+        before = o.join(o.select((F.col("ord") + 1).alias("ord"), *[F.col(c).alias(c + "_b") for c in order]), "ord")
+        assert before.where(F.struct(*order) < F.struct(*[F.col(c + "_b") for c in order])).count() == 0
+    assert select.ordinals(rows.limit(0), ["h"]).count() == 0
+
+
 def test_cursor():
     c = rollout.EpochCursor(10, seed=3)
     first = c.take(10)

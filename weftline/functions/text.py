@@ -50,6 +50,17 @@ def shingles(tokens: Column, k: int, short: str = "whole") -> Column:
     return bind(tokens, of)
 
 
+def shingle_hashes(tokens: Column, k: int, short: str = "whole") -> Column:
+    """64-bit hashes of the distinct shingles that shingles() would give, without building their strings."""
+
+    def of(t: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.size(t) - (k - 1)), lambda i: F.xxhash64(F.slice(t, i, k)))
+        few = F.array(F.xxhash64(t)) if short == "whole" else F.array().cast("array<bigint>")
+        return F.when(F.size(t) >= k, F.array_distinct(many)).when(F.size(t) > 0, few).otherwise(F.array().cast("array<bigint>"))
+
+    return bind(F.transform(tokens, lambda w: F.xxhash64(w)), of)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text
+from weftline.sources.kept import kept
 
 
 def digest(*cols: str | Column) -> Column:
@@ -37,8 +38,8 @@ def conflict_groups(rows: DataFrame, prompt: str, target: str, kind: str) -> Dat
 
 def shingle_table(rows: DataFrame, id_col: str, text_col: str, k: int, short: str = "whole") -> DataFrame:
     """(id, shingle hash, number of the row's shingles)."""
-    sh = rows.select(id_col, text.bind(text.shingles(text.norm_tokens(F.col(text_col)), k, short), lambda s: F.struct(s.alias("s"), F.size(s).alias("n"))).alias("x"))
-    return sh.select(id_col, F.col("x.n").alias("n"), F.explode_outer("x.s").alias("shingle")).where("shingle is not null")
+    sh = rows.select(id_col, text.bind(text.shingle_hashes(text.norm_tokens(F.col(text_col)), k, short), lambda s: F.struct(s.alias("s"), F.size(s).alias("n"))).alias("x"))
+    return sh.select(id_col, F.col("x.n").alias("n"), F.explode("x.s").alias("shingle"))
 
 
 def contaminated_pairs(rows: DataFrame, bench: DataFrame, id_col: str, bench_id: str, text_col: str, k: int, jaccard: float, overlap: float) -> DataFrame:
@@ -55,40 +56,60 @@ def contaminated_pairs(rows: DataFrame, bench: DataFrame, id_col: str, bench_id:
 
 
 def near_pairs(rows: DataFrame, id_col: str, text_col: str, stratum: str, k: int, threshold: float) -> DataFrame:
-    """Pairs (a < b) within a stratum with Jaccard similarity of k-word shingles at or above threshold.
+    """(a, b, jaccard, same): similar rows of a stratum by their sets of k-word shingles, a before b.
+
+    Rows of one stratum with equal sets are a class, for which its least id stands: a row (representative, member, 1,
+    true) for each other member, so a class of n copies gives n - 1 rows and not n * (n - 1) / 2. Between
+    representatives every pair whose Jaccard similarity reaches the threshold is listed, same being false.
 
     Prefix filter, without loss: ordered by frequency, rarest first, two sets that are similar enough share a
-    shingle among the first n - ceil(threshold * n) + 1 of each. Only those are joined; the sizes must fit too.
+    shingle among the first n - ceil(threshold * n) + 1 of each. Shingles of one class alone come first and join
+    nothing, so only the others are dealt out; the sizes must fit too. Rows without a shingle take no part; a null
+    stratum is a stratum of its own. Ids must be different and not null.
     """
-    sh = shingle_table(rows, id_col, text_col, k, "none").join(rows.select(id_col, F.col(stratum).alias("_s")), id_col)
-    often = sh.groupBy("shingle").agg(F.count("*").alias("_f"))
-    sets = sh.join(often, "shingle").groupBy(id_col, "_s", "n").agg(F.array_sort(F.collect_list(F.struct("_f", "shingle"))).alias("_o"))
-    sets = sets.withColumn("_p", (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
-    words = sets.select(id_col, "_s", "n", F.explode(F.slice("_o", F.lit(1), F.col("_p"))).alias("_x")).select(id_col, "_s", "n", F.col("_x.shingle").alias("shingle"))
-    a, b = words.withColumnRenamed(id_col, "a").withColumnRenamed("n", "n_a"), words.withColumnRenamed(id_col, "b").withColumnRenamed("n", "n_b")
-    found = a.join(b, ["_s", "shingle"]).where("a < b").where((F.col("n_a") >= threshold * F.col("n_b") - 1e-9) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9)).select("a", "b").distinct()
-    lists = sets.select(F.col(id_col).alias("_id"), F.col("_o.shingle").alias("_w"))
-    full = found.join(lists.withColumnsRenamed({"_id": "a", "_w": "_wa"}), "a").join(lists.withColumnsRenamed({"_id": "b", "_w": "_wb"}), "b")
-    return full.withColumn("jaccard", text.jaccard(F.col("_wa"), F.col("_wb"))).where(F.col("jaccard") >= threshold - 1e-12).select("a", "b", "jaccard")
-
-
-def greedy_representatives(pairs: DataFrame, spark: SparkSession, checkpoint) -> DataFrame:
+    hashes = text.shingle_hashes(text.norm_tokens(F.col(text_col)), k, "none")
+    base = rows.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(stratum).cast("string"), F.lit("\0"))).alias("s"), F.array_sort(hashes).alias("w")).where(F.size("w") > 0)
+    base = kept(base.withColumn("key", F.sha2(F.concat(F.col("s").cast("string"), F.col("w").cast("string")), 256)), "shingle-sets")
+    first = base.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("_n"))
+    copies = base.select("id", "key").join(first.where("_n > 1"), "key").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    sets = kept(base.join(first.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "w", F.size("w").alias("n"), "s"), "shingle-classes")
+    sh = sets.select("id", "n", F.explode(F.transform("w", lambda x: F.xxhash64(F.col("s"), x))).alias("h"))
+    often = sh.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
+    common = sh.join(often, "h").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("o"))
+    room = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - (F.col("n") - F.size("o"))  # of the prefix, after the shingles of one class alone
+    probes = common.where(room > 0).select("id", "n", F.explode(F.slice("o", F.lit(1), room.cast("int"))).alias("x")).select("id", "n", "x.h")
+    a, b = probes.withColumnsRenamed({"id": "a", "n": "n_a"}), probes.withColumnsRenamed({"id": "b", "n": "n_b"})
+    fits = (F.col("n_a") >= threshold * F.col("n_b") - 1e-9) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9)
+    found = a.join(b, "h").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    lists = sets.select("id", "w")
+    full = found.join(lists.withColumnsRenamed({"id": "a", "w": "w_a"}), "a").join(lists.withColumnsRenamed({"id": "b", "w": "w_b"}), "b")
+    both = F.size(F.array_intersect("w_a", "w_b"))
+    pairs = full.select("a", "b", text.bind(both, lambda c: c / (F.size("w_a") + F.size("w_b") - c)).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
+    return pairs.withColumn("same", F.lit(False)).unionByName(copies.select("a", "b", F.lit(1.0).alias("jaccard"), F.lit(True).alias("same")))
+
+
+def greedy_representatives(near: DataFrame, spark: SparkSession, checkpoint) -> DataFrame:
     """(removed, representative) of the greedy scan in order of ids: a row goes if a kept row before it is similar.
 
-    The lexicographically first independent set, by rounds: a row whose smaller neighbours are all gone is kept;
+    near: what near_pairs gives. A copy goes with its class, so the scan runs over representatives alone. The
+    lexicographically first independent set, by rounds: a row whose smaller neighbours are all gone is kept;
     its larger neighbours go. checkpoint(df) writes a table and reads it.
     """
-    pairs = checkpoint(pairs.select("a", "b"))  # a < b
+    near = checkpoint(near.select("a", "b", "same"))
+    pairs, copies = near.where("not same").drop("same"), near.where("same").drop("same")  # a < b
     left, out = pairs, pairs.select(F.col("b").alias("removed")).limit(0)
     while left.head(1):
         later = left.select(F.col("b").alias("x")).distinct()
-        kept = left.select(F.col("a").alias("x")).distinct().join(later, "x", "left_anti")
-        gone = checkpoint(left.join(kept, left["a"] == kept["x"], "left_semi").select(F.col("b").alias("removed")).distinct())
+        stays = left.select(F.col("a").alias("x")).distinct().join(later, "x", "left_anti")
+        gone = checkpoint(left.join(stays, left["a"] == stays["x"], "left_semi").select(F.col("b").alias("removed")).distinct())
         out = out.unionByName(gone)
         dead = gone.select(F.col("removed").alias("x"))
-        left = checkpoint(left.join(dead, left["a"] == dead["x"], "left_anti").join(dead, left["b"] == dead["x"], "left_anti").join(kept, left["a"] == kept["x"], "left_anti"))
+        left = checkpoint(left.join(dead, left["a"] == dead["x"], "left_anti").join(dead, left["b"] == dead["x"], "left_anti").join(stays, left["a"] == stays["x"], "left_anti"))
     dead = out.select(F.col("removed").alias("x"))
-    return pairs.join(dead, pairs["b"] == dead["x"], "left_semi").join(dead, pairs["a"] == dead["x"], "left_anti").groupBy(F.col("b").alias("removed")).agg(F.min("a").alias("representative"))
+    gone = pairs.join(dead, pairs["b"] == dead["x"], "left_semi").join(dead, pairs["a"] == dead["x"], "left_anti").groupBy(F.col("b").alias("removed")).agg(F.min("a").alias("representative"))
+    gone = checkpoint(gone)
+    over = gone.withColumnsRenamed({"removed": "a", "representative": "r"})
+    return gone.unionByName(copies.join(over, "a", "left").select(F.col("b").alias("removed"), F.coalesce("r", "a").alias("representative")))
 
 
 def lag_pairs(turns: DataFrame, key: str, order: str, role: str) -> DataFrame:
