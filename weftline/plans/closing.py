@@ -98,9 +98,9 @@ QUERIES = {
 SQL = {
     "agg_server_metrics": "SELECT 'tokens_total' AS name, round(sum(floor(value)), 4) AS value FROM events UNION ALL SELECT 'cache_usage', round(avg(round(value / 100, 4)), 4) FROM events",
     "agg_bucket_means": "SELECT CASE WHEN event_type IN ('click', 'view') THEN 'reach' ELSE 'act' END AS bucket, round(avg(a), 6) AS mean, count(*) < CASE WHEN bool_or(event_type IN ('click', 'view')) THEN 2 ELSE 4 END AS partial FROM (SELECT event_type, avg((value > 50)::INT) AS a FROM events GROUP BY 1) GROUP BY 1",
-    "fn_context_projection": "SELECT doc_id, len(list_filter(c, lambda x: x NOT BETWEEN 1 AND 8))::BIGINT AS masked, (10 * coalesce(list_sum(list_filter(c, lambda x: x BETWEEN 1 AND 8)), 0))::DOUBLE AS total FROM (SELECT doc_id, list_transform(string_split(text, ' ')[1:12], lambda w: length(w)) AS c FROM documents)",
+    "fn_context_projection": "SELECT doc_id, len(list_filter(c, lambda x: x NOT BETWEEN 1 AND 8))::BIGINT AS masked, (10 * coalesce(list_sum(list_filter(c, lambda x: x BETWEEN 1 AND 8)), 0))::DOUBLE AS total FROM (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w)) AS c FROM documents)",
     "proj_build_messages": "SELECT doc_id, (2 + (left(text, 10) <> '')::INT + (substr(text, 11, 10) <> '')::INT)::BIGINT AS n, 'asset0,asset1' AS assets FROM documents",
-    "win_group_norm_whole_batch": "SELECT event_id, round(value - avg(value) OVER (PARTITION BY CASE WHEN c % 8 = 0 THEN o // 8 ELSE 0 END), 6) AS advantage FROM (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS o, count(*) OVER () AS c FROM events WHERE event_id < 1003)",
+    "win_group_norm_whole_batch": "SELECT event_id, round(value - avg(value) OVER (PARTITION BY CASE WHEN c % 8 = 0 THEN o // 8 ELSE 0 END), 6) AS advantage FROM (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS o, count(*) OVER () AS c FROM events)",
     "win_running_shards": "SELECT o_orderstatus, (sum(count(*)) OVER (ORDER BY o_orderstatus) - count(*))::BIGINT AS before FROM orders GROUP BY 1",
     "proj_train_data": "SELECT event_id, (CASE WHEN event_type = 'error' THEN 0 WHEN event_id % 3 = 0 THEN (event_id % 5 + 2) // 2 ELSE event_id % 5 + 1 END)::BIGINT AS effective, (value > 95)::INT AS truncated FROM events",
     "fn_batch_pad": "SELECT vec_id, 68::BIGINT AS n, coalesce(list_position(list_transform(embedding, lambda x: x > 0), true) + 3, 0)::BIGINT AS first FROM embeddings",

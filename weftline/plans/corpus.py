@@ -76,14 +76,17 @@ def conflicts(s, d):
 
 
 def near_pairs(s, d):
-    return dedup.near_pairs(docs(s, d), "doc_id", "text", "lang", 5, 0.8).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return dedup.near_pairs(docs(s, d), "doc_id", "text", "lang", 5, 0.8).select("a", "b", F.round("jaccard", 6).alias("jaccard"), "same")
 
 
 NEAR = f"""
-WITH a AS (SELECT DISTINCT doc_id, lang, unnest(CASE WHEN len(t) >= 5 THEN list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i+4], ' ')) ELSE [] END) AS g FROM (SELECT doc_id, lang, {TOK} AS t FROM documents)),
+WITH s AS (SELECT doc_id, lang, list_sort(list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i+4], ' ')))) AS g FROM (SELECT doc_id, lang, {TOK} AS t FROM documents) WHERE len(t) >= 5),
+c AS (SELECT doc_id, lang, g, min(doc_id) OVER (PARTITION BY lang, g) AS rep FROM s),
+a AS (SELECT doc_id, lang, unnest(g) AS g FROM c WHERE doc_id = rep),
 n AS (SELECT doc_id, count(*) AS n FROM a GROUP BY 1),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM a x JOIN a y ON x.g = y.g AND x.lang = y.lang AND x.doc_id < y.doc_id GROUP BY 1, 2)
-SELECT a, b, round(c / (m.n + k.n - c), 6) AS jaccard FROM p JOIN n m ON m.doc_id = a JOIN n k ON k.doc_id = b WHERE c / (m.n + k.n - c) >= 0.8
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM a x JOIN a y ON x.g = y.g AND x.lang IS NOT DISTINCT FROM y.lang AND x.doc_id < y.doc_id GROUP BY 1, 2)
+SELECT a, b, round(c / (m.n + k.n - c), 6) AS jaccard, false AS same FROM p JOIN n m ON m.doc_id = a JOIN n k ON k.doc_id = b WHERE c / (m.n + k.n - c) >= 0.8
+UNION ALL SELECT rep, doc_id, 1.0::DOUBLE, true FROM c WHERE doc_id <> rep
 """
 
 
@@ -255,7 +258,9 @@ QUERIES = {
     "curation_funnel": pipeline_funnel, "fn_text_forms": text_forms, "rw_f1": f1, "fn_jaccard": jaccards,
 }
 
-ANSWER = r"""trim(regexp_replace(regexp_replace(regexp_replace(lower(left(text, 400)), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"""
+PLAIN = r"""regexp_replace(lower(coalesce(text, '')), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', '', 'g')"""
+MARKED = rf"regexp_replace({PLAIN}, '([\pL\pN_]+)', chr(1) || '\1' || chr(1), 'g')"  # whole words between marks
+ANSWER = rf"trim(regexp_replace(replace(regexp_replace({MARKED}, chr(1) || '(a|an|the)' || chr(1), ' ', 'g'), chr(1), ''), '\s+', ' ', 'g'))"
 SQL = {
     "fn_norm_tokens": f"SELECT doc_id, len({TOK})::BIGINT AS n_tokens FROM documents",
     "fn_shingles_tuple": shingle_sql("whole"),
@@ -265,8 +270,8 @@ SQL = {
     "join_exact_benchmark": f"SELECT count(*) AS n FROM (SELECT array_to_string({TOK}, ' ') AS k FROM documents) WHERE k NOT IN (SELECT array_to_string({TOK}, ' ') FROM benchmark)",
     "agg_exact_dedup": "SELECT doc_id, sha256(text) AS h, lang FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1",
     "agg_exact_dedup_audit": "SELECT doc_id AS removed, f AS representative FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS f FROM documents) WHERE doc_id <> f",
-    "agg_norm_dedup": f"SELECT doc_id, length(k)::BIGINT AS key_len FROM (SELECT doc_id, array_to_string({TOK}, ' ') AS k FROM documents WHERE length(text) <= 4000) QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id) = 1",
-    "agg_conflict_groups": f"SELECT sha256(array_to_string(({TOK})[1:8], ' ')) AS h, count(*) AS n_rows, count(DISTINCT quality) AS n_targets, string_agg(DISTINCT lang, ',' ORDER BY lang) AS kinds FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING count(DISTINCT quality) >= 2",
+    "agg_norm_dedup": f"SELECT doc_id, length(k)::BIGINT AS key_len FROM (SELECT doc_id, array_to_string({TOK}, ' ') AS k FROM documents) QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id) = 1",
+    "agg_conflict_groups": f"SELECT sha256(array_to_string({TOK}, ' ')) AS h, count(*) AS n_rows, count(DISTINCT quality) AS n_targets, string_agg(DISTINCT lang, ',' ORDER BY lang) AS kinds FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING count(DISTINCT quality) >= 2",
     "join_lsh_candidates": NEAR,
     "fn_minhash": f"SELECT doc_id, (CASE WHEN len({TOK}) >= 5 THEN 16 ELSE 0 END)::BIGINT AS n_hashes FROM documents",
     "sample_hash_order": "SELECT doc_id, lang FROM documents ORDER BY sha256('42' || chr(0) || doc_id::VARCHAR), doc_id LIMIT 100",
@@ -290,6 +295,6 @@ SQL = {
     "filter_conflicts_anti": "SELECT lang, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1",
     "fn_vocab_compare": f"WITH w AS (SELECT DISTINCT lang, unnest({TOK}) AS w FROM documents WHERE lang IN ('en', 'de')), b AS (SELECT x.w AS a, y.w AS b FROM (SELECT w FROM w WHERE lang = 'en') x FULL JOIN (SELECT w FROM w WHERE lang = 'de') y ON x.w = y.w) SELECT count(*) AS symbols, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS shared, count(*) FILTER (a IS NULL) AS only_right FROM b",
     "curation_funnel": PAIRS + ", u AS (SELECT min(doc_id) AS doc_id FROM documents WHERE n_chars > 200 GROUP BY text), c AS (SELECT * FROM u WHERE doc_id NOT IN (SELECT doc_id FROM hit)) SELECT 0 AS step, 'raw' AS stage, count(*) AS n FROM documents UNION ALL SELECT 1, 'structural', count(*) FROM documents WHERE n_chars > 200 UNION ALL SELECT 2, 'unique', count(*) FROM u UNION ALL SELECT 3, 'clean', count(*) FROM c UNION ALL SELECT 4, 'fit', count(*) FROM c JOIN documents USING (doc_id) WHERE n_chars <= 4000",
-    "rw_f1": f"WITH a AS (SELECT doc_id, string_split({ANSWER}, ' ') AS a FROM documents WHERE lang = 'en'), p AS (SELECT x.doc_id, x.a, y.a AS b FROM a x JOIN a y ON y.doc_id = x.doc_id + 1), m AS (SELECT doc_id, len(a) AS na, len(b) AS nb, list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w))))) AS s FROM p) SELECT doc_id, CASE WHEN s > 0 THEN round(2 * (s / na) * (s / nb) / (s / na + s / nb), 6) ELSE 0 END AS f1 FROM m",
-    "fn_jaccard": f"WITH a AS (SELECT doc_id, list_distinct(({TOK})[1:100]) AS a FROM documents), p AS (SELECT x.doc_id, x.a, y.a AS b FROM a x JOIN a y ON y.doc_id = x.doc_id + 1) SELECT doc_id, round(coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 0), 6) AS jaccard, round(coalesce(len(list_intersect(a, b)) / nullif(least(len(a), len(b)), 0), 0), 6) AS overlap FROM p",
+    "rw_f1": f"WITH t AS (SELECT doc_id, {ANSWER} AS t FROM documents), a AS (SELECT doc_id, list_filter(string_split(t, ' '), lambda w: w <> '') AS a, CASE WHEN t IN ('yes', 'no', 'noanswer') THEN t ELSE '' END AS l FROM t), w AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(a) AS w FROM a) GROUP BY 1, 2), m AS (SELECT x.doc_id, sum(least(x.n, y.n)) AS s FROM w x JOIN w y ON y.doc_id = x.doc_id + 1 AND y.w = x.w GROUP BY 1) SELECT x.doc_id, CASE WHEN x.l = y.l AND s > 0 THEN round(2 * (s / len(x.a)) * (s / len(y.a)) / (s / len(x.a) + s / len(y.a)), 6) ELSE 0 END AS f1 FROM a x JOIN a y ON y.doc_id = x.doc_id + 1 LEFT JOIN m ON m.doc_id = x.doc_id",
+    "fn_jaccard": f"WITH a AS (SELECT doc_id, list_distinct({TOK}) AS a FROM documents), p AS (SELECT x.doc_id, x.a, y.a AS b FROM a x JOIN a y ON y.doc_id = x.doc_id + 1) SELECT doc_id, round(coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 0), 6) AS jaccard, round(coalesce(len(list_intersect(a, b)) / nullif(least(len(a), len(b)), 0), 0), 6) AS overlap FROM p",
 }

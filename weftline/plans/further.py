@@ -192,14 +192,11 @@ QUERIES = {
     "st_partial_rollout": carry, "st_resume": resume, "st_retry_classify": retries, "fn_flops": flops, "fn_teacher_tokens": teacher_map, "agg_length_excess": excess, "filter_rank_slice": context_rank,
     "proj_dense_tensor": dense, "agg_rollout_columns": mean_masks, "rw_gpqa": gpqa,
 }
-PACKED = "WITH r AS (SELECT doc_id, doc_id % 10 AS pack, list_transform(string_split(text, ' ')[1:7], lambda x: length(x)) AS t FROM documents)"
 SQL = {
     "join_benchmark_audit": AUDIT,
-    "pk_sequences": PACKED + " SELECT pack, sum(len(t))::BIGINT AS n, count(*) + 1 AS offsets, sum(list_sum(t))::BIGINT AS total, max(len(t) - 1)::BIGINT AS furthest FROM r GROUP BY 1",
-    "pk_unpack": PACKED + " SELECT pack, (row_number() OVER (PARTITION BY pack ORDER BY doc_id) - 1)::BIGINT AS i, list_sum(t)::BIGINT AS total FROM r",
     "pk_dp_split": "SELECT o % 4 AS rank, count(*) AS n, sum(n_chars)::BIGINT AS load FROM (SELECT n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS o FROM documents) GROUP BY 1",
     "agg_percentile_floor": "SELECT lang, list_sort(list(n_chars))[least(count(*), floor(count(*) * 0.9::DOUBLE)::BIGINT + 1)] AS p90 FROM documents GROUP BY 1",
-    "agg_topn_names": "WITH w AS (SELECT doc_id, generate_subscripts(string_split(text, ' ')[1:20], 1) AS i, unnest(string_split(text, ' ')[1:20]) AS word FROM documents) SELECT word, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, min(doc_id * 100 + i - 1) LIMIT 30",
+    "agg_topn_names": "WITH w AS (SELECT doc_id, generate_subscripts(string_split(text, ' '), 1) AS i, unnest(string_split(text, ' ')) AS word FROM documents) SELECT word, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, min(doc_id::HUGEINT * 1000000000 + i) LIMIT 30",
     "agg_dispositions": "SELECT CASE WHEN quality IS NULL THEN 'unlabelled' WHEN quality = 0 THEN 'rejected' WHEN toxic = 1 THEN 'held' ELSE 'kept' END AS disposition, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
     "agg_card_compare": "SELECT k AS category, count(doc_id) AS n FROM (SELECT unnest(['en', 'de', 'other']) AS k) LEFT JOIN documents ON k = CASE WHEN lang IN ('en', 'de') THEN lang ELSE 'other' END GROUP BY 1",
     "agg_main_pcts": "SELECT count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'es') AS es FROM documents",
@@ -214,7 +211,7 @@ SQL = {
     "st_resume": "SELECT count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')",
     "st_retry_classify": "SELECT kind, sum(n)::BIGINT AS n, max(n) AS most FROM (SELECT user_id, CASE event_type WHEN 'error' THEN 'infrastructure' WHEN 'view' THEN 'agent' ELSE 'ok' END AS kind, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1",
     "fn_flops": "SELECT doc_id, n_chars * 24 * 8 * 64 * 64 + n_chars * n_chars * 4 * 8 * 64 AS flops FROM documents",
-    "fn_teacher_tokens": "WITH a AS (SELECT DISTINCT lang, unnest(string_split(left(text, 400), ' ')) AS w FROM documents WHERE lang IN ('en', 'de')) SELECT count(*) AS n, count(b.w) AS mapped FROM (SELECT w FROM a WHERE lang = 'en') x LEFT JOIN (SELECT w FROM a WHERE lang = 'de') b ON x.w = b.w",
+    "fn_teacher_tokens": "WITH a AS (SELECT DISTINCT lang, unnest(string_split(text, ' ')) AS w FROM documents WHERE lang IN ('en', 'de')) SELECT count(*) AS n, count(b.w) AS mapped FROM (SELECT w FROM a WHERE lang = 'en') x LEFT JOIN (SELECT w FROM a WHERE lang = 'de') b ON x.w = b.w",
     "agg_length_excess": "SELECT lang, count(*) FILTER (n_chars > 2000) AS above, round(coalesce(sum(n_chars) FILTER (n_chars > 2000), 0) / sum(n_chars), 6) AS share FROM documents GROUP BY 1",
     "filter_rank_slice": "SELECT (o // ceil(c / 3)::BIGINT)::BIGINT AS rank, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS o, count(*) OVER () AS c FROM documents) GROUP BY 1",
     "proj_dense_tensor": "SELECT bool_and(len(embedding) = 64) AS dense, count(*) AS n FROM embeddings",

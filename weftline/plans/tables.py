@@ -151,6 +151,6 @@ SQL = {
     "union_concat": "SELECT count(*) AS n, sum(k)::BIGINT AS total FROM (SELECT o_orderkey AS k FROM orders UNION ALL SELECT l_orderkey FROM lineitem)",
     "pred_mixture_manifest": "SELECT l_returnflag, round(count(*) / (SELECT count(*) FROM lineitem), 6) AS weight, count(*) % 4 = 0 AS whole FROM lineitem GROUP BY 1",
     "pk_micro_batches": "SELECT (o // 1000)::BIGINT AS batch, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM (SELECT l_quantity, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS o FROM lineitem) GROUP BY 1",
-    "proj_template_math": "SELECT doc_id, 'Solve:' || chr(10) || trim(left(text, 80)) || chr(10) || 'Answer:' AS prompt, 'sha256:' || sha256(trim(left(text, 80))) AS label FROM documents",
+    "proj_template_math": "SELECT doc_id, 'Solve:' || chr(10) || trim(text) || chr(10) || 'Answer:' AS prompt, 'sha256:' || sha256(trim(text)) AS label FROM documents",
     "proj_inject_metadata": "SELECT doc_id, lang, 'math' AS rm_type, 'eval/lang,eval/rm_type' AS keys FROM documents",
 }
