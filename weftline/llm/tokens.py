@@ -8,6 +8,7 @@ arrays, which hold no object for each piece, and encoded by the tokenizers libra
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
 from itertools import chain
@@ -51,6 +52,7 @@ class Encoder:
     def __init__(self, path: str, max_bytes: int = 40 << 20):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; more threads only wait for it
         self.tokenizer = Tokenizer.from_file(path)
         self.max_bytes = max_bytes
         self._forget()
