@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.functions import arrays, rewards, structure, text
+from weftline.functions import answers, arrays, rewards, structure, text
 from weftline.operators import batches, dedup, metrics, select
 from weftline.plans.common import keeper, shared_folder
 from weftline.sources import files, sealed
@@ -80,11 +80,19 @@ def test_json():
 
 def test_rewards():
     assert rewards.last_boxed(r"\boxed{1} and \boxed{\frac{1}{2}}") == r"\frac{1}{2}" and rewards.last_boxed(r"\boxed{1") is None
-    for a, b, ok in ((r"\frac{1}{2}", "0.5", True), ("1,000", "1000", True), (r"\text{yes}", "yes", True), ("(1, 2)", "(1,2)", True), ("(1, 2]", "(1,2)", False), ("0.333", "1/3", False), ("1/0", "2/0", False), ("", "", False), ("50\\%", "50", True)):
-        assert rewards.same(a, b) is ok, (a, b)
-    assert rewards.math_reward(r"</think> so \boxed{7}", "7", "</think>") == 1 and rewards.math_reward(r"\boxed{7}", "7", "</think>") == 0
+    pairs = ((r"\frac{1}{2}", "0.5", True), ("1,000", "1000", True), (r"\text{yes}", "yes", True), ("(1, 2)", "(1,2)", True), ("(1, 2]", "(1,2)", False), ("0.333", "1/3", False), ("1/0", "2/0", False), ("50\\%", "50", True))
+    for a, b, ok in (*pairs, (r"\sqrt2", r"\sqrt{2}", True), ("x=5", "5", True), (r"5\text{ cm}", "5", True), ("x+1", "1+x", True), ("x(x+1)", "x^2+x", True), ("x+y+z", "z+y+x", False), ("2/4", "1/2", False), ("3!", "6", False), ("n!", "n", False)):
+        assert answers.right(a, b) is ok, (a, b)
+    assert rewards.thought_reward(r"</think> so \boxed{7}", "7") == 1 and rewards.thought_reward(r"\boxed{7}", "7") == 0
     assert rewards.signed_reward("Answer: 3\nAnswer: 4", "4") == {"score": 1.0, "acc": True, "pred": "4"}
+    assert rewards.signed_reward(r"\boxed{4}", "4", strict_box=True)["acc"] and not rewards.signed_reward("4", "4", strict_box=True)["acc"]
+    with pytest.raises(ValueError):
+        rewards.signed_reward("Answer: 3", "three")
     assert rewards.f1_reward("the cat sat", "a cat")["f1"] == pytest.approx(2 / 3) and rewards.f1_reward("yes it is", "yes")["f1"] == 0
+    assert rewards.f1_reward("snake_case", "snakecase")["f1"] == 1 and rewards.f1_reward("l’un", "lun")["f1"] == 0  # ASCII punctuation alone goes
+    assert rewards.choice_reward("D", 3) == 1 and rewards.choice_reward(None, "A") == 0
+    with pytest.raises(ValueError):
+        rewards.by_type("unheard of", "x", "y")
     c = [{"name": "f", "arguments": {"x": 1}}]
     assert rewards.trajectory_reward(c, c, True, True) == pytest.approx(1) and rewards.trajectory_reward([], c, True, False) == pytest.approx(0.1)
 

@@ -86,9 +86,9 @@ def test_whole_texts(spark):
 
 def test_answers_in_whole_turns(spark):
     long = "words of a turn " * 20
-    talk = [(0, 0, "user", long + "the answer is (D)."), (0, 1, "user", long + "no more")]
+    talk = [(0, 0, "user", long + "so (D) is correct: D."), (0, 1, "user", long + "no more")]
     got = run(spark, "fn_extract_letter", conversations=(talk, "conv_id long, turn int, role string, text string"))
-    assert sorted(got) == [(0, 0, "D"), (0, 1, "B")]
+    assert sorted(got) == [(0, 0, "D", "A"), (0, 1, "-", "B")]
 
 
 def test_packs_by_tokens(spark):

@@ -105,10 +105,10 @@ def token_f1(a: Column, b: Column) -> Column:
 
 
 def mask_volatile(x: Column) -> Column:
-    """UUIDs, ISO times and paths below /tmp become fixed marks."""
-    x = F.regexp_replace(x, r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<uuid>")
-    x = F.regexp_replace(x, r"\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?", "<time>")
-    return F.regexp_replace(x, r"/tmp/[^\s\"']+", "<tmp>")
+    """Lower case without white space at the ends; UUIDs, times and the first names below /tmp become fixed marks."""
+    x = F.regexp_replace(F.lower(F.trim(x, F.lit(" \t\n\x0b\x0c\r"))), r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "<uuid>")
+    x = F.regexp_replace(x, r"\d{4}-\d{2}-\d{2}[t ]\d{2}:\d{2}:\d{2}", "<timestamp>")
+    return F.regexp_replace(x, r"/tmp/[^\s/]+", "/tmp/<tmp>")
 
 
 def preview(x: Column, head: int, tail: int) -> Column:
@@ -127,13 +127,17 @@ def last_answer_line(x: Column) -> Column:
     return F.when(F.size(found) > 0, F.trim(F.element_at(found, -1)))
 
 
-def choice_letter(x: Column, letters: str = "ABCD") -> Column:
-    """The chosen letter: after "answer is" or "answer:", else in brackets, else the last capital that stands alone."""
+# How a choice is told, in order.
+CHOICES = [r"(?:answer|option|choice)\s*(?:is|:)?\s*([A-Z])", r"([A-Z])\s*(?:is\s*(?:the)?\s*correct)", r"final\s*(?:answer|option)\s*(?:is|:)?\s*([A-Z])"]
+
+
+def choice_letter(x: Column, letters: str = "ABCDEFGH") -> Column:
+    """The chosen letter after the last thought: by the first way of telling whose first match is a letter that may be
+    chosen, else the last such capital that stands alone; null if there is none."""
     tail = strip_thought(x)
-    named = F.regexp_extract(tail, rf"(?i:answer\s*(?:is|:))\s*\(?([{letters}])\b", 1)
-    boxed = F.regexp_extract(tail, rf"\(([{letters}])\)", 1)
-    alone = F.element_at(F.regexp_extract_all(tail, F.lit(rf"\b([{letters}])\b"), F.lit(1)), -1)
-    return F.coalesce(F.when(named != "", named), F.when(boxed != "", boxed), F.when(F.regexp_count(tail, F.lit(rf"\b([{letters}])\b")) > 0, alone))
+    told = [F.upper(F.regexp_extract(tail, f"(?iU){p}", 1)) for p in CHOICES]
+    alone = F.filter(F.regexp_extract_all(tail, F.lit(r"(?U)\b([A-Z])\b"), F.lit(1)), lambda c: c.isin(*letters))
+    return F.coalesce(*[F.when(t.isin(*letters), t) for t in told], F.get(alone, F.size(alone) - 1))
 
 
 @F.pandas_udf(StringType())

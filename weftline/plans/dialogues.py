@@ -119,19 +119,10 @@ def multi_turn(s, d):
     return by.agg(F.round(F.avg("raw"), 6).alias("raw_mean"), F.max("raw").alias("raw_max"), F.min("raw").alias("raw_min"), F.round(F.avg("own"), 6).alias("own_mean"), F.round(F.avg((F.col("raw") > 1000).cast("double")), 6).alias("clipped"), F.round(F.avg("rounds"), 6).alias("rounds"))
 
 
-def letters(s, d):
-    return turns(s, d).select("conv_id", "turn", F.coalesce(T.choice_letter(F.concat("text", F.lit(" the answer is ("), F.substring(F.lit("ABCD"), F.col("turn").cast("int") % 4 + 1, F.lit(1)), F.lit(")"))), F.lit("-")).alias("letter"))
-
-
-def f_lines(s, d):
-    x = F.concat(F.lit("Answer: 0\n"), F.col("text"), F.lit("\nanswer :  "), F.col("conv_id").cast("string"))
-    return turns(s, d).select("conv_id", "turn", T.last_answer_line(x).alias("answer"))
-
-
 QUERIES = {
     "fn_role_sequence": roles, "fn_conversation_kind": kind, "fn_target_kind": target_kind, "win_lag_pairs": same_role, "fn_dialogue_text": dialogue, "proj_excerpt": last_user,
     "proj_chat_render": render, "agg_rendered_dedup": rendered_dedup, "fn_loss_mask_multi_turn": loss_mask, "filter_unanswered": unanswered, "pred_row_contract": contract,
-    "scan_turn_expansion": expansion, "proj_prefix_messages": prefix, "fn_stratum": stratum, "agg_measure_row": measure, "agg_multi_turn": multi_turn, "fn_extract_letter": letters, "fn_answer_line": f_lines,
+    "scan_turn_expansion": expansion, "proj_prefix_messages": prefix, "fn_stratum": stratum, "agg_measure_row": measure, "agg_multi_turn": multi_turn,
 }
 G = "WITH g AS (SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn) AS m FROM conversations GROUP BY 1)"
 SQL = {
@@ -151,8 +142,6 @@ SQL = {
     "fn_stratum": "SELECT sha256(r || '|' || sha256(x)) AS stratum, count(*) AS n FROM (SELECT string_agg(left(role, 1), '' ORDER BY turn) AS r, CASE WHEN arg_min(role, turn) = 'system' THEN arg_min(text, turn) ELSE '' END AS x FROM conversations GROUP BY conv_id) GROUP BY 1 HAVING count(*) > 1",
     "agg_measure_row": "SELECT conv_id, coalesce(sum(w) FILTER (role = 'system'), 0)::BIGINT AS system_words, coalesce(sum(w) FILTER (role <> 'system'), 0)::BIGINT AS history_words, sum(w)::BIGINT AS words FROM (SELECT *, len(string_split(text, ' ')) AS w FROM conversations) GROUP BY 1",
     "agg_multi_turn": "WITH b AS (SELECT conv_id, sum(w) AS raw, coalesce(sum(w) FILTER (role = 'assistant'), 0) AS own, count(*) AS rounds FROM (SELECT *, len(string_split(text, ' ')) AS w FROM conversations) GROUP BY 1) SELECT round(avg(raw), 6) AS raw_mean, max(raw)::BIGINT AS raw_max, min(raw)::BIGINT AS raw_min, round(avg(own), 6) AS own_mean, round(avg((raw > 1000)::INT), 6) AS clipped, round(avg(rounds), 6) AS rounds FROM b",
-    "fn_extract_letter": "SELECT conv_id, turn, substr('ABCD', (turn % 4 + 1)::INT, 1) AS letter FROM conversations",
-    "fn_answer_line": "SELECT conv_id, turn, conv_id::VARCHAR AS answer FROM conversations",
 }
 
 

@@ -7,7 +7,6 @@ import random
 from pyspark.sql import functions as F
 
 from weftline.functions import arrays as A
-from weftline.functions import text as T
 from weftline.operators import audit, batches, metrics, select
 from weftline.plans.common import table
 from weftline.streaming import rollout
@@ -180,17 +179,12 @@ def mean_masks(s, d):
     return table(s, d, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.round(A.masked_mean(F.col("v"), F.transform("v", lambda x: (x > 0).cast("int"))), 6).alias("mean"))
 
 
-def gpqa(s, d):
-    x = F.concat(F.lit("<think>A</think> I choose ("), F.substring(F.lit("ABCD"), F.col("item_id").cast("int") % 4 + 1, F.lit(1)), F.lit(")."))
-    return table(s, d, "benchmark").select("item_id", (T.choice_letter(x) == "B").cast("double").alias("reward"))
-
-
 QUERIES = {
     "join_benchmark_audit": benchmark_audit, "pk_sequences": packed, "pk_unpack": unpacked, "pk_dp_split": dp_split, "sample_mt_shuffle": mt_shuffle, "sample_epoch_shuffle": epoch_shuffle,
     "agg_percentile_floor": percentile_floor, "agg_topn_names": top_names, "agg_dispositions": dispositions, "agg_card_compare": card, "agg_main_pcts": main_pcts, "agg_statistics": statistics,
     "agg_reward_metrics": reward_metrics, "agg_spec_metrics": spec_metrics, "agg_rollout_perf": perf, "agg_objective": objective, "agg_drop_reasons": drop_reasons, "st_over_sampling": over_sampling,
     "st_partial_rollout": carry, "st_resume": resume, "st_retry_classify": retries, "fn_flops": flops, "fn_teacher_tokens": teacher_map, "agg_length_excess": excess, "filter_rank_slice": context_rank,
-    "proj_dense_tensor": dense, "agg_rollout_columns": mean_masks, "rw_gpqa": gpqa,
+    "proj_dense_tensor": dense, "agg_rollout_columns": mean_masks,
 }
 SQL = {
     "join_benchmark_audit": AUDIT,
@@ -216,5 +210,4 @@ SQL = {
     "filter_rank_slice": "SELECT (o // ceil(c / 3)::BIGINT)::BIGINT AS rank, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS o, count(*) OVER () AS c FROM documents) GROUP BY 1",
     "proj_dense_tensor": "SELECT bool_and(len(embedding) = 64) AS dense, count(*) AS n FROM embeddings",
     "agg_rollout_columns": "SELECT vec_id, round(list_sum(list_filter(embedding::DOUBLE[], lambda x: x > 0)) / greatest(len(list_filter(embedding, lambda x: x > 0)), 1), 6) AS mean FROM embeddings",
-    "rw_gpqa": "SELECT item_id, (item_id % 4 = 1)::INT::DOUBLE AS reward FROM benchmark",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.functions import rewards, structure, text
+from weftline.functions import structure, text
 from weftline.sources import files, sealed
 from weftline.streaming import rollout
 from weftline.plans.common import shared_folder, table
@@ -81,13 +81,6 @@ def lines(s, d):
     return files.read_rows(s, path, "c_custkey long, c_name string").groupBy(F.length("c_name").cast("long").alias("len")).agg(F.count("*").alias("n"), F.sum("c_custkey").alias("ids"))
 
 
-def graded(s, d):
-    """Boxed answers, right for ids that 3 divides."""
-    k = F.col("c_custkey")
-    rows = table(s, d, "customer").select("c_custkey", F.concat(F.lit("so \\boxed{\\frac{"), (k * 2).cast("string"), F.lit("}{4}} or \\boxed{\\frac{"), (k + F.when(k % 3 == 0, 0).otherwise(1)).cast("string"), F.lit("}{2}}")).alias("r"), F.concat((k * 5).cast("string"), F.lit("/10")).alias("t"))
-    return rows.select("c_custkey", rewards.py_reward(F.lit("math"), "r", "t").alias("reward"))
-
-
 def validated(s, d):
     schema = '{"type":"object","properties":{"k":{"type":"integer","minimum":10}},"required":["k"]}'
     return table(s, d, "events").groupBy(F.coalesce(structure.py_first_error("props", F.lit(schema)), F.lit("")).alias("error")).agg(F.count("*").alias("n"))
@@ -111,7 +104,7 @@ def folded(s, d):
 
 QUERIES = {
     "st_window_tumbling": stream_tumbling, "st_window_sliding": sliding, "st_window_session": session, "st_epoch_cursor": cursor, "st_buffer": buffer, "st_longest_prefix": prefixes,
-    "st_staleness_gc": stale, "sink_manifest": seal, "scan_generalized": scanned, "scan_jsonl_label_str": lines, "rw_math": graded, "fn_argument_errors": validated,
+    "st_staleness_gc": stale, "sink_manifest": seal, "scan_generalized": scanned, "scan_jsonl_label_str": lines, "fn_argument_errors": validated,
     "fn_canonical_json": canonical, "fn_repetition": repetitive, "fn_compression_ratio": compressed, "fn_words": folded,
 }
 SQL = {
@@ -124,7 +117,6 @@ SQL = {
     "sink_manifest": "SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS ids, 1::BIGINT AS shards_of_one FROM orders",
     "scan_generalized": "SELECT c_custkey, c_mktsegment FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS o, count(*) OVER () AS c FROM customer) WHERE o >= 10 AND o < c - 5",
     "scan_jsonl_label_str": "SELECT length(c_name)::BIGINT AS len, count(*) AS n, sum(c_custkey)::BIGINT AS ids FROM customer GROUP BY 1",
-    "rw_math": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS reward FROM customer",
     "fn_argument_errors": "SELECT CASE WHEN (props->>'k')::INT < 10 THEN '$.k: bounds' ELSE '' END AS error, count(*) AS n FROM events GROUP BY 1",
     "fn_canonical_json": "SELECT event_id, replace(props, ' ', '') AS canonical FROM events",
 }
