@@ -331,17 +331,31 @@ def test_packing(spark, docs, none):
 
 
 def test_packing_tree(spark):
+    """Many tasks, slabs and rounds; more open bins handed up save no sequence."""
     rng = np.random.default_rng(3)
-    rows = [(i, 0, 0, int(n), i) for i, n in enumerate(rng.integers(1, 2049, 3000))]
-    parts = spark.createDataFrame(rows, packing.PIECE_DDL)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    got = packing.pack(parts, spark, carry=8, fan=2).collect()
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert len(got) == 3000 and len({r.doc_id for r in got}) == 3000
-    load = Counter()
-    for r in got:
-        load[r.sequence_id] += r.length
-    assert max(load.values()) <= 2048 and len(load) <= 1.02 * sum(load.values()) / 2048 + 4
+    cases = {
+        "mixed": rng.integers(1, 2049, 3000),
+        "above half": rng.integers(1025, 1400, 900),
+        "small and large": np.concatenate([rng.integers(1, 60, 200), rng.integers(1100, 2040, 600)]),
+        "one size": np.full(500, 700),
+    }
+    for name, sizes in cases.items():
+        rows = [(i, 0, 0, int(n), i) for i, n in enumerate(sizes)]
+        parts = spark.createDataFrame(rows, packing.PIECE_DDL).repartition(23)
+        counts = []
+        for carry, slab in ((None, 200_000), (5000, 200_000), (None, 20)):
+            got = packing.pack(parts, spark, carry=carry, fan=4, slab=slab).collect()
+            assert len(got) == len(rows) and len({r.doc_id for r in got}) == len(rows)
+            bins = {}
+            for r in got:
+                bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+            for b in bins.values():
+                ends = np.cumsum([n for _, n in sorted(b)])
+                assert [o for o, _ in sorted(b)] == [0, *ends[:-1].tolist()] and ends[-1] <= 2048
+            counts.append(len(bins))
+        assert counts[0] == counts[1], name
+        if name == "mixed":
+            assert counts[0] <= 1.05 * sizes.sum() / 2048 + 4  # tasks of 130 pieces
 
 
 @pytest.mark.parametrize("n", [1, 7, 4095, 4096, 4097, 9000])

@@ -1,11 +1,15 @@
 """Best-fit packing of token pieces into sequences, by partitions first and then up a tree.
 
-A document longer than a sequence is cut from its end, so that only its first piece is shorter. Each
-partition packs its pieces best-fit, longest first, and closes the bins that are nearly full. The open bins
-of several partitions meet as items of the next round, and so on up to one task. After best-fit at most one
-bin of a task is at most half full (two such bins would be one), and only such bins can move into others: so
-a task hands up that bin and its `carry` emptiest ones and closes the rest as they are. What a task of a
-later round gets is therefore bounded by fan x carry bins, whatever the input's size.
+A document longer than a sequence is cut from its end, so that only its first piece is shorter. Each task
+packs its pieces best-fit, longest first, in slabs, and closes the bins that are nearly full. The open bins
+of several tasks meet as items of the next round, and so on up to one task.
+
+What a task hands up is bounded without loss. Best-fit opens a bin only for an item that no bin takes, so at
+most one bin is at most half full, and bins that are more than half full never fit together. What can still
+move is that one bin of each task; the others can only receive such bins. A group of `fan` tasks has at most
+`fan` of these to place, which need at most `fan` receivers, and the emptiest ones take whatever others would.
+So a task hands up its small bin and its `fan` emptiest others and closes the rest as they are: with all of
+them no sequence more could be saved.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +31,7 @@ PLACED = pa.schema([*PIECE, ("sequence_id", pa.int64()), ("offset", pa.int64()),
 PLACED_DDL = PIECE_DDL + ", sequence_id long, offset long, open boolean"
 #: A sequence's number: round, task and count, so that no two tasks share one.
 ROUND_BIT, TASK_BIT = 57, 33
+TASKS = (1 << (ROUND_BIT - TASK_BIT)) - 1
 
 
 def cut(n: int, most: int) -> list[int]:
@@ -80,52 +86,92 @@ def best_fit(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.n
     return bins, places, np.array(loads, np.int64)
 
 
-def pack_task(t: pa.Table, most: int, slack: int, carry: int, round_no: int, task: int, last: bool) -> pa.Table:
-    """One task's round: pieces (round 0), or the open bins of earlier tasks as items."""
+def pack_items(t: pa.Table, most: int, slack: int, carry: int, first: int, last: bool) -> tuple[pa.Table, int]:
+    """Packs items, which are runs of rows of one sequence_id with offsets inside; new sequences are numbered from first.
+
+    Gives PLACED, the bins that may go on marked as open: unless last, those that are not nearly full, but beside the
+    emptiest one at most `carry`. Also how many sequences there are.
+    """
     length = t["length"].to_numpy()
-    if round_no:
-        old, item = np.unique(t["sequence_id"].to_numpy(), return_inverse=True)
-        sizes, inside = np.bincount(item, length, len(old)).astype(np.int64), t["offset"].to_numpy()
-    else:
-        item, sizes, inside = np.arange(len(length)), length, np.zeros(len(length), np.int64)
+    old, item = np.unique(t["sequence_id"].to_numpy(), return_inverse=True)
+    sizes = np.bincount(item, length, len(old)).astype(np.int64)
     bins, places, loads = best_fit(sizes, most)
     is_open = np.zeros(len(loads), bool)
     if not last:
         loose = np.nonzero(loads < most - slack)[0]
         is_open[loose[np.argsort(loads[loose], kind="stable")[: carry + 1]]] = True
     of = bins[item]
-    numbers = (round_no << ROUND_BIT) + (task << TASK_BIT) + of
     cols = [t[c].combine_chunks() for c in PIECE.names]
-    return pa.table([*cols, pa.array(numbers), pa.array(places[item] + inside), pa.array(is_open[of])], schema=PLACED)
+    return pa.table([*cols, pa.array(first + of), pa.array(places[item] + t["offset"].to_numpy()), pa.array(is_open[of])], schema=PLACED), len(loads)
+
+
+def as_items(batch: pa.RecordBatch, first: int) -> pa.Table:
+    """Pieces as items of one row each; their numbers are negative, unlike those of sequences."""
+    n = batch.num_rows
+    numbers = -1 - first - np.arange(n)
+    return pa.Table.from_batches([batch.select(PIECE.names)]).append_column("sequence_id", pa.array(numbers)).append_column("offset", pa.array(np.zeros(n, np.int64)))
 
 
-def pack(parts: DataFrame, spark: SparkSession, most: int = 2048, slack: int = 8, carry: int = 128, fan: int = 16) -> DataFrame:
+def pack(parts: DataFrame, spark: SparkSession, most: int = 2048, slack: int = 8, fan: int = 16, carry: int | None = None, slab: int = 200_000) -> DataFrame:
     """Places every piece (columns of PIECE; others are not read) in a sequence of at most `most` ids.
 
     Pieces have 1 to `most` ids; equal rows are pieces of their own. Bins with more than most - slack ids are
-    closed at once. An empty table gives an empty one. Each round's result is a table in the shared folder.
+    closed at once. A task packs where its pieces lie, `slab` pieces at a time, the open bins of one slab being items of
+    the next, so its memory is bounded whatever it gets. carry: open bins that a task hands up beside its emptiest one,
+    `fan` unless told, which loses nothing. An empty table gives an empty one. Each round is a table in the shared folder.
     """
+    carry = fan if carry is None else carry
+
+    def first_round(batches):
+        """Slabs of pieces; between them 16 * carry open bins stay."""
+        base, n_seen, n_bins, held, waiting, rows = TaskContext.get().partitionId() << TASK_BIT, 0, 0, [], [], 0
+        for b in batches:
+            if b.num_rows:
+                waiting.append(as_items(b, n_seen))
+                n_seen, rows = n_seen + b.num_rows, rows + b.num_rows
+            if rows >= slab:
+                out, n = pack_items(pa.concat_tables(held + waiting), most, slack, 16 * carry, base + n_bins, False)
+                held, n_bins, waiting, rows = [out.filter(out["open"]).drop_columns(["open"])], n_bins + n, [], 0
+                yield from out.filter(pc.invert(out["open"])).to_batches(100_000)
+        if n_seen:
+            yield from pack_items(pa.concat_tables(held + waiting), most, slack, carry, base + n_bins, False)[0].to_batches(100_000)
+
+    def later_round(round_no: int, last: bool):
+        """The items of one group after another; a group takes the place of a task in the numbers."""
 
-    def run(round_no: int, last: bool):
         def get(batches):
-            if got := [b for b in batches if b.num_rows]:
-                t = pa.Table.from_batches(got)
-                for b in pack_task(t, most, slack, carry, round_no, TaskContext.get().partitionId(), last).to_batches(100_000):
-                    yield b
+            group, waiting = None, []
+
+            def packed():
+                base = (round_no << ROUND_BIT) + (group << TASK_BIT)
+                yield from pack_items(pa.concat_tables(waiting), most, slack, carry, base, last)[0].to_batches(100_000)
+
+            for b in batches:
+                of = ((b.column(5).to_numpy() >> TASK_BIT) & TASKS) // fan
+                cuts = np.nonzero(np.diff(of))[0] + 1
+                for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), len(of)]):
+                    if to == at:
+                        continue
+                    if waiting and of[at] != group:
+                        yield from packed()
+                        waiting = []
+                    group = int(of[at])
+                    waiting.append(pa.Table.from_batches([b.slice(at, to - at)]))
+            if waiting:
+                yield from packed()
 
         return get
 
-    rows = parts.select(*PIECE.names)
-    dealt = rows.repartition(F.xxhash64("doc_id", "piece", "ids_crc32", F.rand(7)))
-    done = [shared.written(dealt.mapInArrow(run(0, False), PLACED_DDL), spark, "pack-0")]
-    top = done[0].where("open").agg(F.max(F.shiftright("sequence_id", TASK_BIT))).first()[0]
+    done = [shared.written(parts.select(*PIECE.names).mapInArrow(first_round, PLACED_DDL), spark, "pack-0")]
+    task = F.shiftright("sequence_id", TASK_BIT).bitwiseAND(F.lit(TASKS))
+    top = done[0].where("open").agg(F.max(task)).first()[0]
     tasks = 0 if top is None else top + 1
     while tasks:
         k, groups = len(done), -(-tasks // fan)
         items = done[-1].where("open").drop("open")
-        task = F.shiftright("sequence_id", TASK_BIT).bitwiseAND(F.lit((1 << (ROUND_BIT - TASK_BIT)) - 1))
-        items = items.repartition(groups, F.floor(task / fan)) if groups > 1 else items.coalesce(1)
-        done.append(shared.written(items.mapInArrow(run(k, groups == 1), PLACED_DDL), spark, f"pack-{k}"))
+        group = F.floor(task / fan)
+        items = items.repartition(groups, group).sortWithinPartitions(group) if groups > 1 else items.coalesce(1)
+        done.append(shared.written(items.mapInArrow(later_round(k, groups == 1), PLACED_DDL), spark, f"pack-{k}"))
         tasks = groups if groups > 1 else 0
     out = done[0].where("not open")
     for x in done[1:]:
