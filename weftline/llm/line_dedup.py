@@ -10,7 +10,7 @@ repeats; all lines of a run lie in such windows, so their union is the union of
 No window has more than min_words lines, so log2(min_words) rounds settle all that matters. Of each interval
 the first copy stays: the least doc_id, row and line. Lines that a later copy covers are deleted.
 
-Only DataFrame functions are used. A line's id is 96 bits of hashes of its text.
+Only DataFrame functions are used. A line's id is 128 bits, two hashes of its text with different seeds.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from weftline.llm import shared
 
 def lines(docs: DataFrame) -> DataFrame:
     """A row for each line with a word: _row, doc_id, i (its number among these), pos (among all), words, a, b."""
-    cut = F.transform(F.split("text", "\n", -1), lambda x, p: F.struct(p.alias("pos"), F.regexp_count(x, F.lit(shared.WORD)).alias("words"), F.xxhash64(x).alias("a"), F.hash(x).alias("b")))
+    cut = F.transform(F.split("text", "\n", -1), lambda x, p: F.struct(p.alias("pos"), F.regexp_count(x, F.lit(shared.WORD)).alias("words"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit("line"), x).alias("b")))
     full = docs.select("_row", "doc_id", F.filter(cut, lambda x: x["words"] > 0).alias("l"))
     return full.select("_row", "doc_id", F.posexplode("l").alias("i", "l")).select("_row", "doc_id", "i", "l.pos", "l.words", "l.a", "l.b")
 
@@ -37,19 +37,19 @@ def ranks(named: DataFrame, spark: SparkSession, one: str, two: str) -> DataFram
 def candidates(repeated: DataFrame, min_words: int) -> DataFrame:
     """Stretches of adjacent repeated lines with min_words words, each line with its shortest windows.
 
-    ahead and back: lines of the shortest window of min_words words that begins and ends here, null if none.
+    ahead and back: lines of the shortest window of min_words words that begins and ends here, null if none. Counts
+    over ranges of the running sums of words give them: a line has a word at least, so no two sums are equal.
     """
     doc = Window.partitionBy("_row").orderBy("i")
     run = Window.partitionBy("_row", "run")
-    upto = run.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = repeated.withColumn("run", F.col("i") - F.row_number().over(doc))
     rows = rows.withColumn("total", F.sum("words").over(run)).where(F.col("total") >= min_words)
-    rows = rows.withColumn("c", F.sum("words").over(upto))
-    rows = rows.withColumn("next", F.collect_list("c").over(run.orderBy("i").rowsBetween(0, min_words - 1)))
-    rows = rows.withColumn("last", F.collect_list(F.col("c") - F.col("words")).over(run.orderBy("i").rowsBetween(1 - min_words, 0)))
-    ahead = F.size(F.filter("next", lambda x: x - F.col("c") + F.col("words") < min_words)) + 1
-    back = F.size(F.filter("last", lambda x: F.col("c") - x < min_words)) + 1
-    return rows.select("_row", "doc_id", "i", "pos", "r", F.when(ahead <= F.size("next"), ahead).alias("ahead"), F.when(back <= F.size("last"), back).alias("back"))
+    rows = rows.withColumn("c", F.sum("words").over(run.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
+    ahead = F.count("*").over(run.orderBy(F.col("c") - F.col("words")).rangeBetween(0, min_words - 1))
+    back = F.count("*").over(run.orderBy("c").rangeBetween(1 - min_words, 0))
+    rows = rows.withColumn("ahead", ahead).withColumn("back", back)
+    there = F.col("total") - F.col("c") + F.col("words") >= min_words
+    return rows.select("_row", "doc_id", "i", "pos", "r", F.when(there, F.col("ahead").cast("int")).alias("ahead"), F.when(F.col("c") >= min_words, F.col("back").cast("int")).alias("back"))
 
 
 def double(names: DataFrame, spark: SparkSession, size: int) -> DataFrame:
