@@ -23,7 +23,7 @@ NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+
 HIDDEN = re.compile(r"""\shidden(?=[\s>=/])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 #: Elements whose text is never shown as text. Without an end tag, those in TO_END reach to the end of the page or of its
 #: head, as in browsers, and of others only the tag goes. A head's own elements are in RAW or VOID, so it needs no rule.
-RAW = frozenset("script style noscript template svg iframe object title textarea select canvas audio video annotation annotation-xml".split())
+RAW = frozenset("script style noscript template iframe title textarea select canvas audio video annotation annotation-xml".split())
 TO_END = frozenset("script style noscript template iframe title textarea".split())
 HEAD_END = r"|</head\b[^>]*>?|(?=<body\b)"
 IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
@@ -46,7 +46,7 @@ BOILER_NAME = COMMENT_NAME | frozenset(
 )
 WORDS = re.compile(shared.WORD)
 
-#: Labelled blocks: words and link density of the block, of the one before and of the one after; its place (2 in a
+#: Labelled blocks, of which no two columns alone decide: words and link density of the block, of the one before and of the one after; its place (2 in a
 #: content element, 0 outside, 1 in a page without one); inside a boilerplate element; it is main text.
 LABELLED = np.array(
     [
@@ -57,14 +57,31 @@ LABELLED = np.array(
         (6, 0.0, 2, 1.0, 50, 0.0, 0, 0, 0), (30, 0.2, 90, 0.0, 5, 0.8, 0, 0, 0), (70, 0.0, 90, 0.0, 4, 0.0, 0, 0, 0),
         (1, 0.0, 20, 0.0, 40, 0.0, 0, 0, 0), (12, 0.0, 8, 0.0, 9, 0.0, 0, 0, 0), (45, 0.0, 25, 0.0, 60, 0.0, 0, 0, 0),
         (100, 0.0, 6, 0.0, 0, 0.0, 0, 0, 0), (3, 1.0, 4, 1.0, 2, 1.0, 0, 0, 0), (22, 0.0, 60, 0.0, 30, 0.0, 0, 0, 0),
-        # in it: everything that isn't boilerplate inside it
+        # in it: what isn't boilerplate inside it
         (9, 0.0, 12, 0.0, 70, 0.0, 2, 0, 1), (1, 0.0, 45, 0.0, 60, 0.0, 2, 0, 1), (3, 0.0, 9, 0.0, 5, 0.0, 2, 0, 1),
         (45, 0.0, 9, 0.0, 33, 0.0, 2, 0, 1), (120, 0.0, 40, 0.0, 10, 0.0, 2, 0, 1), (200, 0.05, 90, 0.0, 9, 0.0, 2, 0, 1),
         (20, 0.3, 60, 0.0, 50, 0.1, 2, 0, 1), (6, 0.5, 60, 0.0, 50, 0.0, 2, 0, 1), (2, 1.0, 60, 0.0, 40, 0.0, 2, 0, 1),
         (15, 0.0, 8, 0.0, 0, 0.0, 2, 0, 1), (80, 0.0, 7, 0.0, 11, 0.0, 2, 0, 1), (5, 0.0, 10, 0.0, 9, 0.0, 2, 0, 1),
-        (1, 0.0, 2, 1.0, 1, 1.0, 2, 0, 1), (4, 0.0, 3, 1.0, 2, 0.0, 2, 0, 1), (2, 0.0, 0, 0.0, 0, 0.0, 2, 0, 1),
-        (3, 0.9, 4, 0.8, 6, 0.9, 2, 0, 1), (10, 0.0, 2, 0.9, 3, 0.6, 2, 0, 1), (1, 0.0, 1, 0.0, 1, 0.0, 2, 0, 1),
+        (4, 0.0, 3, 1.0, 2, 0.0, 2, 0, 1), (2, 0.0, 0, 0.0, 0, 0.0, 2, 0, 1), (6, 0.3, 5, 0.4, 7, 0.2, 2, 0, 1),
+        (10, 0.0, 2, 0.9, 3, 0.6, 2, 0, 1), (1, 0.0, 1, 0.0, 1, 0.0, 2, 0, 1), (1, 0.0, 2, 1.0, 1, 1.0, 2, 0, 1),
+        (30, 0.7, 60, 0.1, 50, 0.0, 2, 0, 1), (2, 1.0, 9, 0.0, 70, 0.0, 2, 0, 1), (5, 1.0, 90, 0.0, 0, 0.0, 2, 0, 1),
+        (2, 1.0, 20, 0.0, 5, 0.0, 2, 0, 1), (3, 1.0, 12, 0.0, 14, 0.0, 2, 0, 1), (2, 1.0, 6, 0.0, 30, 0.0, 2, 0, 1),
+        (6, 1.0, 8, 0.0, 9, 0.2, 2, 0, 1), (1, 1.0, 25, 0.1, 10, 0.0, 2, 0, 1), (3, 1.0, 15, 0.0, 0, 0.0, 2, 0, 1),
+        (4, 0.6, 5, 0.0, 6, 0.5, 2, 0, 1), (12, 1.0, 70, 0.0, 80, 0.0, 2, 0, 1), (9, 0.8, 0, 0.0, 20, 0.0, 2, 0, 1),
+        (4, 0.0, 20, 0.0, 3, 1.0, 2, 0, 1), (7, 0.0, 60, 0.0, 2, 1.0, 2, 0, 1), (8, 0.45, 12, 0.0, 5, 1.0, 2, 0, 1),
+        (10, 0.4, 30, 0.0, 3, 1.0, 2, 0, 1), (60, 0.4, 30, 0.0, 6, 1.0, 2, 0, 1), (5, 0.2, 2, 1.0, 4, 1.0, 2, 0, 1),
+        (6, 0.0, 40, 0.0, 0, 0.0, 2, 0, 1), (9, 0.0, 30, 0.0, 0, 0.0, 2, 0, 1), (8, 0.2, 5, 0.0, 0, 0.0, 2, 0, 1),
+        (4, 0.3, 70, 0.0, 0, 0.0, 2, 0, 1), (11, 0.4, 2, 1.0, 0, 0.0, 2, 0, 1), (5, 0.0, 90, 0.0, 0, 0.0, 2, 0, 1),
+        # but bare links in a row are a menu wherever they lie
+        (2, 1.0, 2, 1.0, 3, 1.0, 2, 0, 0), (1, 1.0, 40, 0.0, 2, 1.0, 2, 0, 0), (3, 1.0, 2, 1.0, 0, 0.0, 2, 0, 0),
+        (3, 1.0, 2, 1.0, 50, 0.0, 2, 0, 0), (8, 1.0, 9, 1.0, 7, 1.0, 2, 0, 0), (12, 0.95, 10, 1.0, 11, 1.0, 2, 0, 0),
+        (4, 1.0, 0, 0.0, 3, 1.0, 2, 0, 0), (6, 1.0, 2, 0.0, 8, 1.0, 2, 0, 0), (2, 1.0, 1, 1.0, 9, 0.0, 2, 0, 0),
+        (2, 1.0, 20, 0.0, 3, 1.0, 2, 0, 0), (6, 1.0, 5, 1.0, 9, 0.0, 2, 0, 0), (3, 1.0, 60, 0.0, 4, 1.0, 2, 0, 0),
+        (2, 1.0, 3, 1.0, 80, 0.0, 2, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 2, 0, 0), (12, 1.0, 70, 0.0, 9, 1.0, 2, 0, 0),
+        (7, 1.0, 12, 1.0, 30, 0.0, 2, 0, 0), (15, 1.0, 14, 0.95, 0, 0.0, 2, 0, 0), (9, 1.0, 35, 0.0, 11, 0.95, 2, 0, 0),
         (14, 0.0, 80, 0.0, 60, 0.0, 2, 1, 0), (50, 0.0, 80, 0.0, 60, 0.0, 2, 1, 0), (3, 1.0, 60, 0.0, 3, 1.0, 2, 1, 0),
+        (3, 1.0, 50, 0.0, 30, 0.0, 2, 1, 0), (1, 1.0, 20, 0.0, 40, 0.0, 2, 1, 0), (6, 0.9, 50, 0.0, 0, 0.0, 2, 1, 0),
+        (2, 1.0, 9, 0.2, 12, 0.0, 2, 1, 0), (8, 1.0, 70, 0.0, 60, 0.0, 2, 1, 0), (4, 1.0, 6, 0.0, 5, 0.1, 2, 1, 0),
         (30, 0.0, 20, 0.0, 22, 0.0, 2, 1, 0), (2, 0.0, 30, 0.0, 30, 0.0, 2, 1, 0), (100, 0.0, 4, 0.0, 0, 0.0, 2, 1, 0),
         # pages without a content element: long blocks with few links, and short ones between such
         (1, 1.0, 0, 0.0, 1, 1.0, 1, 1, 0), (12, 0.0, 2, 1.0, 40, 0.0, 1, 1, 0), (60, 0.0, 20, 0.0, 40, 0.0, 1, 1, 0),
