@@ -151,7 +151,7 @@ def test_log_bilinear_is_normalised(spark, docs):
 def test_line_rules(spark, docs, none):
     labels = spark.createDataFrame([(3, 1), (6, 0), (None, 1)], "doc_id long, quality int")
     for marks in (labels, labels.limit(0)):
-        got = line_rules.judge(docs.withColumn("kept", F.lit(1)), line_rules.train(docs, marks), keep_columns=True)
+        got = line_rules.judge(docs.withColumn("kept", F.lit(1)), line_rules.train(docs, marks, spark), keep_columns=True)
         rows = {r.doc_id: r for r in got.collect()}
         assert got.count() == len(ROWS) and not rows[1].kept and not rows[2].kept and rows[6].base_failed
         assert (rows[6].n_words, rows[6].n_repeat_words) == (30_000, 30_000)

@@ -3,7 +3,7 @@
 The field has a weight vector for the lines' features and weights for the first state and each change of
 state. It is fitted by gradient ascent on sequences of lines: a fixed small set, and labelled documents up to
 a bound. In a document of quality 0 all lines count as boilerplate, in others those that repeat an earlier
-line. Viterbi decoding labels a document's lines; the share of its words in content lines decides.
+line, since documents are labelled and lines are not. Viterbi decoding labels a document's lines; the share of its words in content lines decides.
 """
 
 from __future__ import annotations
@@ -178,23 +178,36 @@ def content_share(text: str | None, field: Field) -> float:
     return float((sizes * field.decode(line_features(lines))).sum() / sizes.sum()) if lines else 0.0
 
 
-def train(docs: DataFrame, labels: DataFrame, most_docs: int = 2000) -> Field:
-    """Fits on SEQUENCES and at most most_docs labelled documents (by hash of doc_id; those with crc32 mod 5 of 0
-    are never used), with all their lines. Without labels, SEQUENCES alone serve."""
+def train(docs: DataFrame, labels: DataFrame, spark: SparkSession, most_docs: int = 2000, most_lines: int = 200_000) -> Field:
+    """Fits on SEQUENCES and on labelled documents with all their lines: a sample bounded by most_docs documents and
+    most_lines lines, in order of the hash of doc_id, those left out that would exceed the lines.
+
+    Documents with crc32(doc_id) mod 5 of 0 are never used. A line's label is made from its document's, as no line has
+    one of its own, so what the field learns is lines of good and of bad documents. Without labels, SEQUENCES alone serve.
+    """
     marks = labels.where((F.col("quality").isin(0, 1)) & (shared.id_remainder("doc_id", 5) != 0)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
     rows = docs.join(F.broadcast(marks), "doc_id").select("doc_id", "text", "quality")
 
     def get(batches):
+        schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("lines", pa.int64()), ("x", pa.binary())])
         for batch in batches:
             for doc, text, quality in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 x = line_features((text or "").split("\n"))
                 if len(x):
-                    yield pa.RecordBatch.from_pylist([{"doc_id": doc, "quality": quality, "x": x.tobytes()}], pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("x", pa.binary())]))
-
-    got = rows.mapInArrow(get, "doc_id long, quality int, x binary").orderBy("doc_id", "quality", F.length("x")).limit(most_docs).collect()
-    xs = [line_features([x for x, _ in s]) for s in SEQUENCES] + [np.frombuffer(r.x).reshape(-1, N_FEATURES) for r in got]
-    ys = [np.array([y for _, y in s]) for s in SEQUENCES] + [np.array(r.quality * (1 - x[:, -1]), int) for r, x in zip(got, xs[len(SEQUENCES) :])]
+                    yield pa.RecordBatch.from_pylist([{"doc_id": doc, "quality": quality, "lines": len(x), "x": x.astype(np.float32).tobytes()}], schema)
+
+    order = ["doc_id", "lines", "quality"]
+    found = shared.written(rows.mapInArrow(get, "doc_id long, quality int, lines long, x binary"), spark, "line-features")
+    chosen, room = [], most_lines
+    for r in found.select(F.xxhash64("doc_id").alias("h"), *order).orderBy("h", *order).limit(most_docs).collect():
+        if r.lines <= room:
+            chosen.append((r.doc_id, r.lines))
+            room -= r.lines
+    ids = sorted({d for d, _ in chosen})
+    got = found.where(F.col("doc_id").isin(ids)).orderBy(*order, "x").limit(len(chosen)).toArrow().to_pylist() if ids else []
+    xs = [line_features([x for x, _ in s]) for s in SEQUENCES] + [np.frombuffer(r["x"], np.float32).astype(float).reshape(-1, N_FEATURES) for r in got]
+    ys = [np.array([y for _, y in s]) for s in SEQUENCES] + [np.array(r["quality"] * (1 - x[:, -1]), int) for r, x in zip(got, xs[len(SEQUENCES) :])]
     return Field().fit(xs, ys)
 
 
@@ -226,4 +239,4 @@ def judge(docs: DataFrame, field: Field, share: float = 0.5, keep_columns: bool
 def op6_line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules' measures and verdict on every row of `documents`."""
     docs = shared.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return judge(docs, train(docs, shared.table(spark, sf_dir, "labels")))
+    return judge(docs, train(docs, shared.table(spark, sf_dir, "labels"), spark))
