@@ -12,7 +12,7 @@ from weftline.llm import line_dedup, line_rules, mixing, packing, shared, simhas
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; the rules learn from those with labels."""
-    field = line_rules.train(docs.select("doc_id", "text"), shared.table(spark, sf_dir, "labels"))
+    field = line_rules.train(docs.select("doc_id", "text"), shared.table(spark, sf_dir, "labels"), spark)
     return line_rules.judge(docs, field, keep_columns=True).where("kept").select(*docs.columns)
 
 
