@@ -129,23 +129,53 @@ def test_log_bilinear(spark, docs, none):
     assert log_bilinear.score_texts(held, spark).count() == 1
 
 
-def test_log_bilinear_is_normalised(spark, docs):
-    fit = docs.select("text")
-    counts = log_bilinear.count_words(fit, spark)
-    vocab = log_bilinear.vocabulary(counts, fit.count())
-    model = log_bilinear.train(fit, vocab, spark)
-    p = np.exp(model.log_probabilities(np.array([[log_bilinear.END] * 2, [0, 3]])))
-    assert np.allclose(p.sum(axis=1), 1)
+def test_log_bilinear_is_normalised(spark, docs, monkeypatch):
+    """Probabilities of all words, of an unseen one in each class and of the end sum to one, after any context."""
     import pyarrow as pa
 
-    words = pa.array([r.word for r in counts.collect()])
-    n = {r.word: r.n for r in counts.collect()}
-    out, _ = vocab.outputs(words)
-    inside = Counter()
-    for w, o in zip(words.to_pylist(), out.tolist()):
-        if o >= log_bilinear.WORDS:
-            inside[o - log_bilinear.WORDS] += n[w] + 1
-    assert all(vocab.mass[k] == v + 1 for k, v in inside.items())  # with one for an unseen word
+    rng = np.random.default_rng(2)
+    words = [f"w{i}{e}" for i in range(40) for e in ("ing", "ed", "é", "x.")]
+    texts = [" ".join(rng.choice(words, 80, p=np.arange(1, 161) / 12880)) for _ in range(60)]
+    fit = spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "text string").repartition(3)
+    for direct in (3, 96):
+        monkeypatch.setattr(log_bilinear, "DIRECT", direct)
+        counts = log_bilinear.count_words(fit, spark)
+        v = log_bilinear.vocabulary(counts, fit.count())
+        model = log_bilinear.train(fit, v, spark)
+        assert 100 < v.n_words < 160 and v.direct == direct and v.size**2 >= v.n_words - direct
+        n = {r.word: r.n for r in counts.collect()}
+        assert sorted(v.first_step(np.arange(v.n_words)).tolist()) == v.first_step(np.arange(v.n_words)).tolist()
+        every = pa.array([*sorted(n)])
+        x, _ = v.inputs(every)
+        mass = Counter()
+        for w, k in zip(every.to_pylist(), x.tolist()):
+            if k >= v.n_words:
+                mass[k - v.n_words] += n[w] + 1
+        assert all(v.mass[k] == mass[k] + 1 for k in range(log_bilinear.ENDINGS))  # with one for an unseen word
+        for context in ([v.n_inputs - 1] * 2, [0, 5], [v.n_words + 1, v.n_words - 1]):
+            ask = np.arange(v.n_inputs)
+            logs = log_bilinear.token_log10(ask, np.array([context] * len(ask)), model, v)
+            assert np.isclose((10**logs).sum(), 1, atol=1e-4)
+
+
+def test_log_bilinear_learns_pairs(spark):
+    """Of words of one class, the one that always follows is told from the others by the words before."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(2500):
+        a = rng.integers(0, 40, 100)
+        rows.append((i, " ".join(f"{k}left {k}right" for k in a.tolist())))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = log_bilinear.score_texts(docs, spark).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert got[0] / got[2] > got[1] / got[2] + 0.4  # powers of ten; 0.8 if every second word of a pair were certain
+
+
+def test_many_words_of_one_count(spark, monkeypatch):
+    """Where too many words tie, none is frequent, and all are told apart by their counts in classes."""
+    monkeypatch.setattr(log_bilinear, "FREQUENT", 20)
+    docs = spark.createDataFrame([(i, " ".join(f"word{j}" for j in range(50))) for i in range(30)], "doc_id long, text string")
+    got = log_bilinear.score_texts(docs, spark).collect()
+    assert all(r.n_known == r.n_tokens == 51 and r.score < 0 for r in got)
 
 
 def test_line_rules(spark, docs, none):

@@ -1,13 +1,17 @@
 """Log-bilinear language model, trained with noise-contrastive estimation; normalised token log-probabilities.
 
-The model's outputs are the most frequent words, classes of all other words by their last letters, and the
-end. Vectors of the two tokens before are weighted by place and summed; the product with an output's vector,
-plus its bias, is its score. A word inside a class has its count plus one over the class's counts, each plus
-one, plus one for a word that was never seen; so probabilities of all words, known or not, sum to one.
-
-Counts come from all training texts. Every partition trains on all its training texts from the same start,
-one pass in small batches against words drawn from the unigram distribution; the models are averaged by the
-tokens they saw, up a tree.
+Words with a count of a tenth of the root of all tokens or more are modelled, so the model grows with the corpus. A
+prediction has two steps. Outputs of the first are the DIRECT most frequent words, classes of the other modelled words,
+classes of all other words by their last letters, and the end; of the second, the words of a class. Modelled words that
+end alike stand together, and runs of them, as many as each has words, are the classes. Vectors of the two tokens
+before, weighted by place and summed, times an output's vector, plus its bias, are its score in either step, and a
+softmax over the step's outputs normalises it: matrix products over batches, for the second step class by class.
+A word inside a class by last letters has its count plus one over the class's counts, each plus one, plus one for a
+word that was never seen; so probabilities of all words, known or not, sum to one.
+
+Counts come from all training texts. Every partition trains on all its training texts from the same start, one pass in
+small batches against words drawn from the unigram distribution, in the second step from the class's own. A task
+hands on the vectors that it moved, and each vector is averaged over the tasks by how often they moved it.
 """
 
 from __future__ import annotations
@@ -24,14 +28,17 @@ from pyspark.sql import functions as F
 
 from weftline.llm import shared
 
-WORDS, CLASSES, CONTEXT, DIM = 447, 64, 2, 16
-END = WORDS + CLASSES  # also what stands before a text's first token
-OUTPUTS = END + 1
+DIRECT, ENDINGS, CONTEXT, DIM = 96, 64, 2, 16
 #: So many words are sent to every task with their counts, none longer than LONGEST bytes; others are joined.
 FREQUENT, LONGEST = 300_000, 64
 SIGNS = ".,!?;:%$#&*\"')(|"
 
 
+def least_count(tokens: int) -> int:
+    """From which count on a word is modelled."""
+    return max(10, math.isqrt(tokens) // 10)
+
+
 def endings(words: pa.Array) -> pa.Array:
     """The last two characters before closing signs."""
     return pc.utf8_slice_codeunits(pc.utf8_rtrim(words, characters=SIGNS), start=-2, stop=1 << 30)
@@ -39,22 +46,78 @@ def endings(words: pa.Array) -> pa.Array:
 
 @dataclass
 class Vocabulary:
-    """frequent: words by falling count, the first WORDS of which are outputs; mass: of each class, counts plus one."""
+    """frequent: words by falling count; the first n_words of them are modelled, and number[i] is the i-th one's number.
+
+    Modelled words are numbered by rank up to DIRECT and then class by class, `size` words a class. mass: of each class
+    by last letters, counts plus one. top, own: the share of each output of the first step, and of each modelled word.
+    """
 
     tokens: int
     kinds: int
     ends: int
     frequent: pa.Array
     counts: np.ndarray
-    classes: pa.Array
+    endings: pa.Array
     mass: np.ndarray
-    unigram: np.ndarray = field(default=None)
-
-    def outputs(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Of distinct words: the output, and the place among the frequent ones or -1."""
-        at = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.frequent), -1), np.int64)
-        kind = np.asarray(pc.fill_null(pc.index_in(endings(words), value_set=self.classes), CLASSES - 1), np.int64)
-        return np.where((at >= 0) & (at < WORDS), at, WORDS + kind), at
+    seen: np.ndarray = field(default=None)
+    n_words: int = 0
+    direct: int = 0
+    number: np.ndarray = field(default=None)
+    size: int = 1
+    top: np.ndarray = field(default=None)
+    own: np.ndarray = field(default=None)
+
+    def __post_init__(self):
+        self.n_words = int((self.counts >= least_count(self.tokens)).sum())
+        self.direct = min(DIRECT, self.n_words)
+        order = list(range(self.direct))
+        rest = self.frequent[self.direct : self.n_words].to_pylist()
+        order += [self.direct + i for i in sorted(range(len(rest)), key=lambda i: rest[i].rstrip(SIGNS)[::-1])]
+        self.number = np.empty(self.n_words, np.int64)
+        self.number[order] = np.arange(self.n_words)
+        self.size = max(1, math.ceil(math.sqrt(len(rest))))
+        n = np.zeros(self.n_words)
+        n[self.number] = self.counts[: self.n_words]
+        self.own = n + 0.5
+        top = np.zeros(self.n_top)
+        np.add.at(top, self.first_step(np.arange(self.n_words)), n)
+        top[self.first_ending : self.end], top[self.end] = self.seen, self.ends
+        self.top = (top + 0.5) / (top + 0.5).sum()
+
+    @property
+    def first_ending(self) -> int:
+        return self.direct + -(-(self.n_words - self.direct) // self.size)
+
+    @property
+    def end(self) -> int:
+        """The end's number among the outputs of the first step."""
+        return self.first_ending + ENDINGS
+
+    @property
+    def n_top(self) -> int:
+        return self.end + 1
+
+    @property
+    def n_inputs(self) -> int:
+        """Modelled words, classes by last letters, and the end, which also stands before a text's first token."""
+        return self.n_words + ENDINGS + 1
+
+    def first_step(self, word: np.ndarray) -> np.ndarray:
+        """The output of the first step of modelled words, given by number."""
+        return np.where(word < self.direct, word, self.direct + (word - self.direct) // self.size)
+
+    def inputs(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of distinct words: the number among the inputs, and the place among the frequent ones or -1."""
+        at = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.frequent), -1)).astype(np.int64)
+        kind = np.asarray(pc.fill_null(pc.index_in(endings(words), value_set=self.endings), ENDINGS - 1)).astype(np.int64)
+        out = self.n_words + kind
+        modelled = (at >= 0) & (at < self.n_words)
+        out[modelled] = self.number[at[modelled]]
+        return out, at
+
+    def outputs(self, inputs: np.ndarray) -> np.ndarray:
+        """The outputs of the first step of tokens, given by number among the inputs."""
+        return np.where(inputs < self.n_words, self.first_step(inputs), inputs - self.n_words + self.first_ending)
 
 
 def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -77,7 +140,11 @@ def count_words(train: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, n_texts: int) -> Vocabulary:
-    """The driver gets the frequent words and one number for each class, both bounded."""
+    """The driver gets the frequent words and one number for each class by last letters, both bounded.
+
+    Frequent words are those from a count on that at most FREQUENT words have; where more words than that tie at the
+    highest counts, there are none from that count down.
+    """
     words, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # the words whose count is above a bound, chosen by how many words have each count: no task sorts them all
     able, room, least = counts.where(F.octet_length("word") <= LONGEST), FREQUENT, 0
@@ -88,160 +155,191 @@ def vocabulary(counts: DataFrame, n_texts: int) -> Vocabulary:
         room -= r.k
     top = able.where(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     frequent, n = top["word"].combine_chunks().cast(pa.string()), top["n"].to_numpy()
-    short = set(frequent[:WORDS].to_pylist())
+    bound = max(least, least_count(words + n_texts))
 
     def get(batches):
         for batch in batches:
-            w = batch.column(0)
-            rare = pa.array(np.array([x not in short for x in w.to_pylist()], bool))
-            yield pa.RecordBatch.from_arrays([endings(w.filter(rare)), pc.add(batch.column(1).filter(rare), 1), batch.column(1).filter(rare)], names=["ending", "m", "n"])
+            w, n = batch.column(0), batch.column(1)
+            rare = pc.or_(pc.less(n, bound), pc.greater(pc.binary_length(w), LONGEST))
+            yield pa.RecordBatch.from_arrays([endings(w.filter(rare)), pc.add(n.filter(rare), 1), n.filter(rare)], names=["ending", "m", "n"])
 
     by_end = counts.mapInArrow(get, "ending string, m long, n long").groupBy("ending").agg(F.sum("m").alias("m"), F.sum("n").alias("n"))
     m_all, n_all = by_end.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    best = by_end.orderBy(F.desc("m"), "ending").limit(CLASSES - 1).collect()
-    mass, seen = np.ones(CLASSES), np.zeros(CLASSES)
+    best = by_end.orderBy(F.desc("m"), "ending").limit(ENDINGS - 1).collect()
+    mass, seen = np.ones(ENDINGS), np.zeros(ENDINGS)
     for k, r in enumerate(best):
         mass[k] += r.m
         seen[k] = r.n
     mass[-1] += m_all - sum(r.m for r in best)
     seen[-1] = n_all - sum(r.n for r in best)
-    unigram = np.zeros(OUTPUTS)
-    unigram[: min(WORDS, len(n))] = n[:WORDS]
-    unigram[WORDS:END], unigram[END] = seen, n_texts
-    unigram = (unigram + 0.5) / (unigram + 0.5).sum()
-    return Vocabulary(words + n_texts, kinds + (n_texts > 0), n_texts, frequent, n, pa.array([r.ending for r in best], pa.string()), mass, unigram)
+    return Vocabulary(words + n_texts, kinds + (n_texts > 0), n_texts, frequent, n, pa.array([r.ending for r in best], pa.string()), mass, seen)
 
 
 @dataclass
 class Model:
-    """before: vectors of context tokens; place: weights of the context's places; after, bias: of outputs."""
+    """before: vectors of inputs; place: weights of the context's places; top: of the first step's outputs, own: of the
+    modelled words in their classes, each with its bias in the last column."""
 
     before: np.ndarray
     place: np.ndarray
-    after: np.ndarray
-    bias: np.ndarray
+    top: np.ndarray
+    own: np.ndarray
 
     @classmethod
-    def start(cls, unigram: np.ndarray, seed: int = 5) -> Model:
+    def start(cls, v: Vocabulary, seed: int = 5) -> Model:
         rng = np.random.default_rng(seed)
-        draw = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
-        return cls(draw(OUTPUTS, DIM), np.ones((CONTEXT, DIM), np.float32), draw(OUTPUTS, DIM), np.log(unigram).astype(np.float32))
+        draw = lambda n, bias: np.hstack([rng.standard_normal((n, DIM)) * 0.1, bias[:, None]]).astype(np.float32)
+        classes = v.first_step(np.arange(v.n_words))
+        share = v.own / np.bincount(classes, v.own, v.n_top)[classes] if v.n_words else v.own
+        return cls((rng.standard_normal((v.n_inputs, DIM)) * 0.1).astype(np.float32), np.ones((CONTEXT, DIM), np.float32), draw(v.n_top, np.log(v.top)), draw(v.n_words, np.log(share)))
 
     def parts(self) -> list[np.ndarray]:
-        return [self.before, self.place, self.after, self.bias]
-
-    def pack(self) -> bytes:
-        return np.concatenate([x.reshape(-1) for x in self.parts()]).astype("<f4").tobytes()
-
-    @classmethod
-    def unpack(cls, data: bytes | np.ndarray) -> Model:
-        v = np.frombuffer(data, "<f4").copy() if isinstance(data, bytes) else data.astype(np.float32)
-        a, b = OUTPUTS * DIM, OUTPUTS * DIM + CONTEXT * DIM
-        return cls(v[:a].reshape(OUTPUTS, DIM), v[a:b].reshape(CONTEXT, DIM), v[b : b + a].reshape(OUTPUTS, DIM), v[b + a :])
+        return [self.before, self.place, self.top, self.own]
 
     def context(self, c: np.ndarray) -> np.ndarray:
-        return (self.before[c] * self.place).sum(axis=1)
-
-    def log_probabilities(self, c: np.ndarray) -> np.ndarray:
-        """Natural logs for all outputs after each context (a row of CONTEXT tokens)."""
-        s = self.context(c) @ self.after.T + self.bias
+        """With a one at the end, for the bias."""
+        h = np.ones((len(c), DIM + 1), np.float32)
+        h[:, :DIM] = (self.before[c] * self.place).sum(axis=1)
+        return h
+
+    @staticmethod
+    def logs(h: np.ndarray, outputs: np.ndarray) -> np.ndarray:
+        """Natural logs of a step's probabilities."""
+        s = h @ outputs.T
         s -= s.max(axis=1, keepdims=True)
         return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
 
 
 class Trainer:
-    """Noise-contrastive estimation with AdaGrad; the noise of a batch is drawn once and shared by its tokens."""
-
-    def __init__(self, model: Model, unigram: np.ndarray, noise: int = 64, rate: float = 0.15, seed: int = 0):
-        self.m, self.noise, self.rate, self.rng = model, noise, rate, np.random.default_rng(seed)
-        self.edges, self.log_kq = np.cumsum(unigram), np.log(noise * unigram).astype(np.float32)
+    """Noise-contrastive estimation with AdaGrad; the first step's noise of a batch is shared by its tokens."""
+
+    def __init__(self, model: Model, v: Vocabulary, noise: int = 64, own_noise: int = 8, rate: float = 0.3, seed: int = 0):
+        self.m, self.v, self.noise, self.own_noise, self.rate, self.rng = model, v, noise, own_noise, rate, np.random.default_rng(seed)
+        self.edges, self.log_kq = np.cumsum(v.top), np.log(noise * v.top).astype(np.float32)
+        classes = v.first_step(np.arange(v.n_words))
+        self.upto = np.concatenate([[0.0], np.cumsum(v.own)])
+        starts = np.searchsorted(classes, np.arange(v.n_top + 1))  # numbers of words rise with their classes
+        self.low, self.mass = self.upto[starts[:-1]], np.diff(self.upto[starts])
+        self.own_log_kq = np.log(own_noise * v.own / self.mass[classes]).astype(np.float32) if v.n_words else np.zeros(0, np.float32)
         self.squares = [np.full_like(x, 1e-2) for x in model.parts()]
-
-    def step(self, c: np.ndarray, y: np.ndarray) -> None:
-        m, n = self.m, len(y)
-        drawn = np.minimum(np.searchsorted(self.edges, self.rng.random(self.noise)), OUTPUTS - 1)
+        self.moved = [np.zeros(len(x), np.int64) for x in model.parts()]
+
+    def _move(self, k: int, at: np.ndarray, g: np.ndarray) -> None:
+        """Adds to the rows `at` of part k what their gradients, summed by row, ask for."""
+        order = np.argsort(at, kind="stable")
+        rows, first, n = np.unique(at[order], return_index=True, return_counts=True)
+        g = np.add.reduceat(g[order], first, axis=0)
+        s = self.squares[k][rows] + g * g
+        self.squares[k][rows] = s
+        self.m.parts()[k][rows] += self.rate * g / np.sqrt(s)
+        self.moved[k][rows] += n
+
+    def step(self, c: np.ndarray, word: np.ndarray, y: np.ndarray) -> None:
+        """c: contexts; word, y: the tokens' numbers among the inputs and among the first step's outputs."""
+        m, v, n = self.m, self.v, len(y)
+        drawn = np.minimum(np.searchsorted(self.edges, self.rng.random(self.noise)), v.n_top - 1)
         vectors = m.before[c]
-        h = (vectors * m.place).sum(axis=1)
-        true = 1 / (1 + np.exp(-((h * m.after[y]).sum(axis=1) + m.bias[y] - self.log_kq[y])))
-        false = 1 / (1 + np.exp(-(h @ m.after[drawn].T + m.bias[drawn] - self.log_kq[drawn])))
+        h = np.ones((n, DIM + 1), np.float32)
+        h[:, :DIM] = (vectors * m.place).sum(axis=1)
+        true_rows, noise_rows = m.top[y], m.top[drawn]
+        true = 1 / (1 + np.exp(self.log_kq[y] - np.einsum("nd,nd->n", h, true_rows)))
+        false = 1 / (1 + np.exp(self.log_kq[drawn] - h @ noise_rows.T))
         up = (1 - true)[:, None]
-        dh = up * m.after[y] - false @ m.after[drawn]
-        after, bias, before = np.zeros_like(m.after), np.bincount(y, up[:, 0], OUTPUTS).astype(np.float32), np.zeros_like(m.before)
-        np.add.at(after, y, up * h)
-        np.add.at(after, drawn, -(false.T @ h))
-        np.add.at(bias, drawn, -false.sum(axis=0))
-        place = np.zeros_like(m.place)
-        for k in range(CONTEXT):
-            np.add.at(before, c[:, k], dh * m.place[k])
-            place[k] = (dh * vectors[:, k]).sum(axis=0)
-        for x, g, s in zip(m.parts(), (before, place, after, bias), self.squares):
-            g /= n
-            s += g * g
-            x += self.rate * g / np.sqrt(s)
-
-
-def sequences(texts: pa.Array, vocab: Vocabulary):
-    """Of the texts' tokens, with the ends: outputs, contexts, places among distinct words (-1: end), offsets, words."""
+        dh = up * true_rows - false @ noise_rows
+        moves = [(2, np.concatenate([y, drawn]), np.concatenate([up * h, -(false.T @ h)]))]
+        inner = np.nonzero((y >= v.direct) & (y < v.first_ending))[0]
+        if len(inner):
+            k, hi, own = y[inner], h[inner], word[inner]
+            u = self.low[k][:, None] + self.rng.random((len(inner), self.own_noise)) * self.mass[k][:, None]
+            other = np.clip(np.searchsorted(self.upto, u, side="right") - 1, 0, v.n_words - 1)
+            pick = np.concatenate([own[:, None], other], axis=1)
+            rows = m.own[pick]
+            p = 1 / (1 + np.exp(self.own_log_kq[pick] - np.einsum("nd,nkd->nk", hi, rows)))
+            p[:, 0] -= 1
+            dh[inner] -= np.einsum("nk,nkd->nd", p, rows)
+            moves.append((3, pick.reshape(-1), (-p[:, :, None] * hi[:, None, :]).reshape(-1, DIM + 1)))
+        d = dh[:, None, :DIM]
+        moves.append((0, c.reshape(-1), (d * m.place).reshape(-1, DIM)))
+        moves.append((1, np.arange(CONTEXT), (d * vectors).sum(axis=0)))
+        for k, at, g in moves:
+            self._move(k, at, g.astype(np.float32) / np.float32(n))
+
+
+def sequences(texts: pa.Array, v: Vocabulary):
+    """Of the texts' tokens, with the ends: input numbers, contexts, places among distinct words (-1: end), offsets, the
+    words, and their places among the frequent ones."""
     words, at, offsets = tokens(texts)
-    out, place = vocab.outputs(words)
+    inputs, place = v.inputs(words)
     which = np.insert(at, offsets[1:], -1)
-    y = np.insert(out[at] if len(words) else at, offsets[1:], END)
+    x = np.insert(inputs[at] if len(words) else at, offsets[1:], v.n_inputs - 1)
     starts = offsets + np.arange(len(offsets))
-    c = np.full((len(y), CONTEXT), END)
+    c = np.full((len(x), CONTEXT), v.n_inputs - 1)
     for k in range(CONTEXT):
-        c[k + 1 :, k] = y[: len(y) - k - 1]
+        c[k + 1 :, k] = x[: len(x) - k - 1]
         for j in range(k + 1):  # what lies before a text is an end
             s = starts[:-1] + j
-            c[s[s < starts[1:]], k] = END
-    return y, c, which, starts, words, place
+            c[s[s < starts[1:]], k] = v.n_inputs - 1
+    return x, c, which, starts, words, place
 
 
-def train(docs: DataFrame, vocab: Vocabulary, spark: SparkSession, batch_size: int = 1024, fan: int = 64) -> Model:
-    """docs: the training texts (text). An empty table gives the unigram model."""
+MOVED = "part int, row long, n long, vector array<float>"
+
+
+def train(docs: DataFrame, vocab: Vocabulary, spark: SparkSession, batch_size: int = 1024) -> Model:
+    """docs: the training texts (text). An empty table gives the unigram model.
+
+    What tasks hand on is at most a row for each vector that a token of theirs moved; the driver gets the mean of each.
+    """
     sent = spark.sparkContext.broadcast(vocab)
 
     def get(batches):
-        v = sent.value
-        model, seen = Model.start(v.unigram), 0
-        t = Trainer(model, v.unigram, seed=TaskContext.get().partitionId())
+        v, t = sent.value, None
         for batch in batches:
             for part in shared.slices(batch, "text"):
-                y, c, *_ = sequences(part.column(0), v)
+                t = t or Trainer(Model.start(v), v, seed=TaskContext.get().partitionId())
+                x, c, *_ = sequences(part.column(0), v)
+                y = v.outputs(x)
                 for i in range(0, len(y), batch_size):
-                    t.step(c[i : i + batch_size], y[i : i + batch_size])
-                seen += len(y)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([seen], pa.int64()), pa.array([model.pack()])], names=["k", "seen", "model"])
-
-    def mean(batches):
-        if rows := sorted((r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)))), key=lambda r: r[0]):
-            seen, total = sum(r[1] for r in rows), 0.0
-            for _, n, data in rows:
-                total = total + np.frombuffer(data, "<f4").astype(np.float64) * (n / seen)
-            yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]], pa.int64()), pa.array([seen], pa.int64()), pa.array([total.astype("<f4").tobytes()])], names=["k", "seen", "model"])
-
-    ddl = "k long, seen long, model binary"
-    models = shared.written(docs.select("text").mapInArrow(get, ddl), spark, "models")
-    while (n := models.count()) > fan:
-        models = shared.written(models.repartition(-(-n // fan), "k").mapInArrow(mean, ddl), spark, "models")
-    rows = sorted(models.collect())
-    if not rows:
-        return Model.start(vocab.unigram)
-    seen = sum(r.seen for r in rows)
-    return Model.unpack(sum(np.frombuffer(bytes(r.model), "<f4").astype(np.float64) * (r.seen / seen) for r in rows))
-
-
-def token_log10(y: np.ndarray, c: np.ndarray, model: Model, step: int = 8192) -> np.ndarray:
-    """log10 of each output's probability after its context; every distinct context is computed once."""
-    key, inverse = np.unique(c[:, 0] * OUTPUTS + c[:, 1], return_inverse=True)
+                    t.step(c[i : i + batch_size], x[i : i + batch_size], y[i : i + batch_size])
+        for k, (part, n) in enumerate(zip(t.m.parts(), t.moved) if t else ()):
+            rows = np.nonzero(n)[0]
+            for at in range(0, len(rows), 50_000):
+                some = rows[at : at + 50_000]
+                ends = pa.array(np.arange(len(some) + 1, dtype=np.int32) * part.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some), pa.array(n[some]), pa.ListArray.from_arrays(ends, pa.array(part[some].reshape(-1)))], names=["part", "row", "n", "vector"])
+
+    moved = shared.written(docs.select("text").mapInArrow(get, MOVED), spark, "moved")
+    weighted = [F.sum(F.col("n") * F.get("vector", F.lit(i)).cast("double")).alias(f"s{i}") for i in range(DIM + 1)]
+    mean = moved.groupBy("part", "row").agg(F.sum("n").alias("n"), *weighted)
+    got = mean.select("part", "row", *[(F.col(f"s{i}") / F.col("n")).cast("float").alias(f"s{i}") for i in range(DIM + 1)]).toArrow()
+    model = Model.start(vocab)
+    part, row = got["part"].to_numpy(), got["row"].to_numpy()
+    values = np.stack([got[f"s{i}"].to_numpy() for i in range(DIM + 1)], axis=1)
+    for k, x in enumerate(model.parts()):
+        x[row[part == k]] = values[part == k][:, : x.shape[1]]
+    return model
+
+
+def token_log10(x: np.ndarray, c: np.ndarray, model: Model, v: Vocabulary, step: int = 4096) -> np.ndarray:
+    """log10 of each token's probability after its context: both steps, but for words in classes by last letters only
+    the first. Every distinct context is computed once."""
+    key, inverse = np.unique(c[:, 0] * v.n_inputs + c[:, 1], return_inverse=True)
+    y, out = v.outputs(x), np.zeros(len(x))
     order = np.argsort(inverse, kind="stable")
     bounds = np.searchsorted(inverse[order], np.arange(0, len(key) + step, step))
-    out = np.zeros(len(y))
+    h = np.concatenate([model.context(np.stack([key[i : i + step] // v.n_inputs, key[i : i + step] % v.n_inputs], axis=1)) for i in range(0, len(key), step)]) if len(key) else np.zeros((0, DIM + 1), np.float32)
     for k, at in enumerate(range(0, len(key), step)):
-        some = key[at : at + step]
-        logs = model.log_probabilities(np.stack([some // OUTPUTS, some % OUTPUTS], axis=1))
+        logs = Model.logs(h[at : at + step], model.top)
         own = order[bounds[k] : bounds[k + 1]]
         out[own] = logs[inverse[own] - at, y[own]]
+    inner = np.nonzero((y >= v.direct) & (y < v.first_ending))[0]
+    inner = inner[np.argsort(y[inner], kind="stable")]
+    for own in np.split(inner, np.nonzero(np.diff(y[inner]))[0] + 1) if len(inner) else ():
+        first = v.direct + (int(y[own[0]]) - v.direct) * v.size
+        words = model.own[first : min(first + v.size, v.n_words)]
+        for at in range(0, len(own), step):
+            some = own[at : at + step]
+            out[some] += Model.logs(h[inverse[some]], words)[np.arange(len(some)), x[some] - first]
     return out / math.log(10)
 
 
@@ -261,11 +359,11 @@ def score(docs: DataFrame, vocab: Vocabulary, counts: DataFrame, model: Model, s
         floor = math.log10(v.tokens + v.kinds + 1)
         for batch in batches:
             for part in shared.slices(batch, "text"):
-                y, c, which, starts, words, place = sequences(part.column(2), v)
-                got = token_log10(y, c, m)
+                x, c, which, starts, words, place = sequences(part.column(2), v)
+                got = token_log10(x, c, m, v)
                 plus = np.append(np.where(place >= 0, np.log10(1.0 + v.counts[np.maximum(place, 0)]) if len(v.counts) else 0.0, 0.0), math.log10(v.ends + 1))  # the last is the end's
-                in_class = (y >= WORDS) & (y < END)
-                got[in_class] += plus[which[in_class]] - np.log10(v.mass[y[in_class] - WORDS])
+                rest_words = (x >= v.n_words) & (x < v.n_inputs - 1)
+                got[rest_words] += plus[which[rest_words]] - np.log10(v.mass[x[rest_words] - v.n_words])
                 base = plus[which] - floor
                 known = np.append(place >= 0, v.ends > 0)[which]
                 add = lambda x: np.add.reduceat(x, starts[:-1])  # noqa: E731  every text has an end
