@@ -97,6 +97,29 @@ def test_simhash(spark, docs, none):
     assert simhash.keep_first(none, spark).count() == 0
 
 
+def test_buckets_in_slabs_against_all_pairs():
+    """The forest of links is the same however many rows a task holds at a time."""
+    import pyarrow as pa
+
+    from weftline.llm import graph
+
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 62, 40)
+    fps = np.unique(np.concatenate([base, base ^ (1 << rng.integers(0, 62, 40)), base ^ (7 << rng.integers(0, 60, 40))]))
+    rows = [next(simhash.probes([(list(range(32)), 0)])([pa.RecordBatch.from_arrays([pa.array(fps)], names=["fp"])])) for _ in range(1)]
+    t = pa.Table.from_batches(rows)
+    for c in ("x", "y", "side"):
+        t = t.append_column(c, pa.array(np.zeros(len(t), np.int32)))
+    t = t.sort_by([("part", "ascending"), ("value", "ascending")])
+    want = {frozenset((int(a), int(b))) for i, a in enumerate(fps) for b in fps[i + 1 :] if (int(a) ^ int(b)).bit_count() <= 4 and (int(a) ^ int(b)) & 0xFFFFFFFF == 0}
+    nodes = graph.roots(*np.array([sorted(x) for x in want]).T)
+    for held in (3, 10, 1_000_000):
+        out = list(simhash.verify(4, held)(iter(t.to_batches(7))))
+        a, b = (np.concatenate([o.column(k).to_numpy() for o in out]) for k in (0, 1))
+        got = graph.roots(a, b)
+        assert all((g == w).all() for g, w in zip(got, nodes))
+
+
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(3, 1), (4, 1), (6, 0), (7, None), (None, 1), (4, 7)], "doc_id long, quality int")
     rows = quality.features(docs, spark)

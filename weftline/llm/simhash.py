@@ -50,9 +50,10 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 4, keep
 
     def get(batches):
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(fps)], names=[*kept, "fp"])
+            for some in shared.slices(batch, text_col):
+                at = some.schema.get_field_index(text_col)
+                fps = np.array([fingerprint(t, shingle) for t in some.column(at).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(some.column(some.schema.get_field_index(c)) for c in kept), pa.array(fps)], names=[*kept, "fp"])
 
     return docs.mapInArrow(get, schema)
 
@@ -158,36 +159,58 @@ def probes(parts: list[tuple[list[int], int]]):
     return get
 
 
-def verify(most: int):
-    """A function from one task's rows (part, value, x, y, fp, listed, side) to a forest of its links."""
+def forest(t: pa.Table, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The links among the rows (part, value, x, y, fp, listed, side) of whole buckets, as a forest; None without any."""
+    part, value, x, y, side = (t[c].to_numpy() for c in ("part", "value", "x", "y", "side"))
+    fp, listed = t["fp"].to_numpy().view(np.uint64), t["listed"].to_numpy(zero_copy_only=False)
+    order = np.lexsort((fp, y, x, value, part))
+    part, value, x, y, side, fp, listed = (c[order] for c in (part, value, x, y, side, fp, listed))
+    new = np.ones(len(fp), bool)
+    new[1:] = (part[1:] != part[:-1]) | (value[1:] != value[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    last = np.append(np.nonzero(new)[0][1:], len(fp))[np.cumsum(new) - 1]  # end of each row's group
+    left, a, b, held = np.arange(len(fp)), [], [], 0
+    for d in range(1, len(fp)):
+        left = left[left + d < last[left]]
+        if not len(left):
+            break
+        i, j = left, left + d
+        near = (np.bitwise_count(fp[i] ^ fp[j]) <= most) & (listed[i] | listed[j]) & ((x[i] == y[i]) | (side[i] != side[j]))
+        a.append(fp[i[near]].view(np.int64))
+        b.append(fp[j[near]].view(np.int64))
+        held += int(near.sum())
+        if held > 1_000_000:
+            p, q = graph.roots(np.concatenate(a), np.concatenate(b))
+            a, b, held = [p], [q], 0
+    return graph.roots(np.concatenate(a), np.concatenate(b)) if a else None
+
+
+def verify(most: int, rows: int = 200_000):
+    """A function from a task's rows, sorted by part, value, x and y, to links: about `rows` of them are held at a time,
+    whole buckets and dealt pairs of chunks, which are small."""
 
     def get(batches):
-        if not (got := [b for b in batches if b.num_rows]):
-            return
-        t = pa.Table.from_batches(got)
-        part, value, x, y, side = (t[c].to_numpy() for c in ("part", "value", "x", "y", "side"))
-        fp, listed = t["fp"].to_numpy().view(np.uint64), t["listed"].to_numpy(zero_copy_only=False)
-        order = np.lexsort((fp, y, x, value, part))
-        part, value, x, y, side, fp, listed = (c[order] for c in (part, value, x, y, side, fp, listed))
-        new = np.ones(len(fp), bool)
-        new[1:] = (part[1:] != part[:-1]) | (value[1:] != value[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-        last = np.append(np.nonzero(new)[0][1:], len(fp))[np.cumsum(new) - 1]  # end of each row's group
-        left, a, b, held = np.arange(len(fp)), [], [], 0
-        for d in range(1, len(fp)):
-            left = left[left + d < last[left]]
-            if not len(left):
-                break
-            i, j = left, left + d
-            near = (np.bitwise_count(fp[i] ^ fp[j]) <= most) & (listed[i] | listed[j]) & ((x[i] == y[i]) | (side[i] != side[j]))
-            a.append(fp[i[near]].view(np.int64))
-            b.append(fp[j[near]].view(np.int64))
-            held += int(near.sum())
-            if held > 1_000_000:
-                p, q = graph.roots(np.concatenate(a), np.concatenate(b))
-                a, b, held = [p], [q], 0
-        if a:
-            p, q = graph.roots(np.concatenate(a), np.concatenate(b))
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q)], names=["a", "b"])
+        held, n = [], 0
+
+        def found(t: pa.Table):
+            if t.num_rows and (pair := forest(t, most)) is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= rows:
+                t = pa.Table.from_batches(held)
+                differ = np.zeros(t.num_rows - 1, bool)
+                for c in ("part", "value", "x", "y"):
+                    v = t[c].to_numpy()
+                    differ |= v[1:] != v[:-1]
+                cuts = np.nonzero(differ)[0]
+                cut = int(cuts[-1]) + 1 if len(cuts) else 0
+                yield from found(t.slice(0, cut))
+                held = t.slice(cut).combine_chunks().to_batches()
+                n = t.num_rows - cut
+        if held:
+            yield from found(pa.Table.from_batches(held))
 
     return get
 
@@ -208,7 +231,8 @@ def links(fps: DataFrame, spark: SparkSession, most: int = 4, chunk: int = 1000)
         many = rows.join(hot, ["part", "value"]).withColumn("c", F.pmod(F.xxhash64("fp", "listed"), F.col("k")).cast("int"))
         many = many.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
         keyed = keyed.unionByName(many.select("part", "value", F.least("c", "j").alias("x"), F.greatest("c", "j").alias("y"), "fp", "listed", F.when(F.col("c") <= F.col("j"), 0).otherwise(1).alias("side")))
-    return keyed.repartition("part", "value", "x", "y").mapInArrow(verify(most), "a long, b long")
+    keys = ["part", "value", "x", "y"]
+    return keyed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify(most), "a long, b long")
 
 
 def classes(prints: DataFrame, spark: SparkSession, most: int = 4) -> DataFrame:
