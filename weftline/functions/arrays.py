@@ -141,6 +141,17 @@ def entropy(p: Column) -> Column:
     return -total(F.transform(p, lambda a: F.when(a > 0, a * F.log(a)).otherwise(0.0)))
 
 
+def reward_sum_count(scores: Column, post: Column, pre: Column, mask: Column) -> Column:
+    """(total, n) over masked tokens and their candidates: post - pre, weighted by a softmax of the model's scores."""
+
+    def one(r: Column) -> Column:
+        return dot(softmax(r["s"]), F.zip_with(r["a"], r["b"], lambda a, b: a - b))
+
+    rows = F.zip_with(F.zip_with(F.zip_with(scores, post, lambda s, a: F.struct(s.alias("s"), a.alias("a"))), pre, lambda r, b: F.struct(r["s"].alias("s"), r["a"].alias("a"), b.alias("b"))), mask, lambda r, m: F.struct(r["s"].alias("s"), r["a"].alias("a"), r["b"].alias("b"), m.cast("boolean").alias("m")))
+    kept = F.filter(rows, lambda r: r["m"])
+    return F.struct(total(F.transform(kept, one)).alias("total"), F.aggregate(kept, F.lit(0).cast("long"), lambda n, r: n + F.size(r["s"])).alias("n"))
+
+
 def top_k(scores: Column, ids: Column, k: int) -> Column:
     """The k entries (score, id) with the largest scores, ties to the smaller id."""
     entries = F.zip_with(scores, ids, lambda s, i: F.struct((-s).alias("less"), i.alias("id"), s.alias("score")))

@@ -98,6 +98,21 @@ def summary(events: DataFrame, code: str, row: str, samples: int = 5) -> DataFra
     return events.groupBy(code).agg(F.count("*").alias("n_events"), F.countDistinct(row).alias("n_rows"), F.array_join(F.slice(F.array_sort(F.collect_set(row)), 1, samples), ",").alias("samples"))
 
 
+def timer_report(timers: DataFrame, flops: float, tokens: int) -> DataFrame:
+    """(name, value): the seconds of each timer, and what follows from them; a rate without its timer, or of none, is left out."""
+    sums = timers.groupBy("name").agg(F.sum("seconds").alias("v"))
+    wide = sums.agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in ("actor_train", "log_probs", "ref_log_probs", "train", "train_wait")])
+    trained = F.col("actor_train").isNotNull()
+    both = F.col("train_wait") + F.col("train")
+    rate = lambda x, n: F.when(F.col(n) > 0, x / F.col(n))
+    found = {
+        "log_probs_tflops": F.when(trained, rate(F.lit(flops), "log_probs")), "ref_log_probs_tflops": F.when(trained, rate(F.lit(flops), "ref_log_probs")), "actor_train_tflops": rate(F.lit(3 * flops), "actor_train"),
+        "actor_train_tok_per_s": rate(F.lit(float(tokens)), "actor_train"), "step_time": F.when(both > 0, both), "wait_time_ratio": F.when(both > 0, F.col("train_wait") / both),
+    }
+    derived = wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("value")) for n, c in found.items()])).alias("x")).select("x.*").where("value is not null")
+    return sums.select(F.concat("name", F.lit("_time")).alias("name"), F.col("v").alias("value")).unionByName(derived)
+
+
 def top_names(rows: DataFrame, name: str, order: str, n: int = 30) -> DataFrame:
     """The most frequent names; of equal counts the one seen first."""
     return rows.groupBy(name).agg(F.count("*").alias("n"), F.min(order).alias("_first")).orderBy(F.desc("n"), "_first").limit(n).drop("_first")
