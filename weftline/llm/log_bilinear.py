@@ -203,17 +203,19 @@ class Model:
         return h
 
     @staticmethod
-    def logs(h: np.ndarray, outputs: np.ndarray) -> np.ndarray:
-        """Natural logs of a step's probabilities."""
+    def chosen(h: np.ndarray, outputs: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        """Natural logs of a step's probabilities, of output cols[i] after the context rows[i]."""
         s = h @ outputs.T
         s -= s.max(axis=1, keepdims=True)
-        return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
+        got = s[rows, cols]
+        np.exp(s, out=s)
+        return got - np.log(s.sum(axis=1))[rows]
 
 
 class Trainer:
     """Noise-contrastive estimation with AdaGrad; the first step's noise of a batch is shared by its tokens."""
 
-    def __init__(self, model: Model, v: Vocabulary, noise: int = 64, own_noise: int = 8, rate: float = 0.3, seed: int = 0):
+    def __init__(self, model: Model, v: Vocabulary, noise: int = 64, own_noise: int = 5, rate: float = 0.3, seed: int = 0):
         self.m, self.v, self.noise, self.own_noise, self.rate, self.rng = model, v, noise, own_noise, rate, np.random.default_rng(seed)
         self.edges, self.log_kq = np.cumsum(v.top), np.log(noise * v.top).astype(np.float32)
         classes = v.first_step(np.arange(v.n_words))
@@ -223,16 +225,20 @@ class Trainer:
         self.own_log_kq = np.log(own_noise * v.own / self.mass[classes]).astype(np.float32) if v.n_words else np.zeros(0, np.float32)
         self.squares = [np.full_like(x, 1e-2) for x in model.parts()]
         self.moved = [np.zeros(len(x), np.int64) for x in model.parts()]
+        self.kinds = [np.uint16 if len(x) <= 1 << 16 else np.uint32 for x in model.parts()]  # short numbers sort faster
 
     def _move(self, k: int, at: np.ndarray, g: np.ndarray) -> None:
         """Adds to the rows `at` of part k what their gradients, summed by row, ask for."""
+        at = at.astype(self.kinds[k])
         order = np.argsort(at, kind="stable")
-        rows, first, n = np.unique(at[order], return_index=True, return_counts=True)
+        at = at[order]
+        first = np.concatenate([[0], np.nonzero(at[1:] != at[:-1])[0] + 1])
+        rows = at[first]
         g = np.add.reduceat(g[order], first, axis=0)
         s = self.squares[k][rows] + g * g
         self.squares[k][rows] = s
         self.m.parts()[k][rows] += self.rate * g / np.sqrt(s)
-        self.moved[k][rows] += n
+        self.moved[k][rows] += np.diff(np.append(first, len(at)))
 
     def step(self, c: np.ndarray, word: np.ndarray, y: np.ndarray) -> None:
         """c: contexts; word, y: the tokens' numbers among the inputs and among the first step's outputs."""
@@ -262,7 +268,7 @@ class Trainer:
         moves.append((0, c.reshape(-1), (d * m.place).reshape(-1, DIM)))
         moves.append((1, np.arange(CONTEXT), (d * vectors).sum(axis=0)))
         for k, at, g in moves:
-            self._move(k, at, g.astype(np.float32) / np.float32(n))
+            self._move(k, at, g * np.float32(1 / n))
 
 
 def sequences(texts: pa.Array, v: Vocabulary):
@@ -329,9 +335,8 @@ def token_log10(x: np.ndarray, c: np.ndarray, model: Model, v: Vocabulary, step:
     bounds = np.searchsorted(inverse[order], np.arange(0, len(key) + step, step))
     h = np.concatenate([model.context(np.stack([key[i : i + step] // v.n_inputs, key[i : i + step] % v.n_inputs], axis=1)) for i in range(0, len(key), step)]) if len(key) else np.zeros((0, DIM + 1), np.float32)
     for k, at in enumerate(range(0, len(key), step)):
-        logs = Model.logs(h[at : at + step], model.top)
         own = order[bounds[k] : bounds[k + 1]]
-        out[own] = logs[inverse[own] - at, y[own]]
+        out[own] = Model.chosen(h[at : at + step], model.top, inverse[own] - at, y[own])
     inner = np.nonzero((y >= v.direct) & (y < v.first_ending))[0]
     inner = inner[np.argsort(y[inner], kind="stable")]
     for own in np.split(inner, np.nonzero(np.diff(y[inner]))[0] + 1) if len(inner) else ():
@@ -339,7 +344,7 @@ def token_log10(x: np.ndarray, c: np.ndarray, model: Model, v: Vocabulary, step:
         words = model.own[first : min(first + v.size, v.n_words)]
         for at in range(0, len(own), step):
             some = own[at : at + step]
-            out[some] += Model.logs(h[inverse[some]], words)[np.arange(len(some)), x[some] - first]
+            out[some] += Model.chosen(h[inverse[some]], words, np.arange(len(some)), x[some] - first)
     return out / math.log(10)
 
 
