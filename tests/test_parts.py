@@ -75,7 +75,7 @@ def test_json():
     schema = {"type": "object", "properties": {"n": {"type": "integer", "minimum": 1}, "t": {"type": "array", "items": {"enum": ["a", "b"]}}}, "required": ["n"], "additionalProperties": False}
     assert structure.errors({"n": 2, "t": ["a"]}, schema) == []
     assert structure.errors({"t": ["c"], "x": 1}, schema) == ["$.n: required", "$.t[0]: enum", "$.x: unknown"]
-    assert structure.errors({"n": True}, schema) == ["$.n: type"] and structure.schema_errors({"type": "text", "required": ["a", "a"]}) == ["$: type", "$: required"]
+    assert structure.errors({"n": True}, schema) == ["$.n: type"] and structure.schema_errors({"type": "text", "required": ["a", "a"]}) == ["$: required", "$: type"]
 
 
 def test_rewards():
