@@ -24,6 +24,25 @@ def norm_tokens(x: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(x), F.lit("([a-z0-9]+)"), F.lit(1)), F.array().cast("array<string>"))
 
 
+# The words around a prompt that don't belong to it.
+PROMPT_HEAD = r"(?iU)^\s*solve\s+the\s+following\s+coding\s+problem\s+using\s+the\s+programming\s+language\s+python\s*:\s*"
+PROMPT_TAIL = ("now solve the problem and return the code.", "now solve the problem and return the code")
+
+
+@F.pandas_udf(StringType())
+def py_nfkc(x: pd.Series) -> pd.Series:
+    return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+
+
+def prompt_tokens(x: Column) -> Column:
+    """norm_tokens of a prompt without the words around it, in NFKC."""
+    text = F.regexp_replace(x, PROMPT_HEAD, "")
+    kept = F.regexp_replace(text, r"(?U)\s+$", "")
+    low = F.lower(kept)
+    cut = F.when(low.endswith(PROMPT_TAIL[0]), F.left(kept, F.length(kept) - len(PROMPT_TAIL[0]))).when(low.endswith(PROMPT_TAIL[1]), F.left(kept, F.length(kept) - len(PROMPT_TAIL[1]))).otherwise(text)
+    return norm_tokens(py_nfkc(cut))
+
+
 def strip_wrapper(x: Column, prefixes: list[str], suffix: str | None = None) -> Column:
     """Without the first of the prefixes that it begins with, and without one suffix at its end."""
     out = x
@@ -71,12 +90,23 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(0.0)
 
 
+PRIME = 4_294_967_311  # the least above 2**32
+
+
 def minhash(sh: Column, seeds: int) -> Column:
-    """A signature of the least seeded hashes; null for an empty set."""
-    least = F.transform(F.sequence(F.lit(0), F.lit(seeds - 1)), lambda s: F.array_min(F.transform(sh, lambda x: F.xxhash64(s, x))))
+    """A signature of a set: for each of `seeds` functions the least (a * h + b) mod PRIME, h being 32 bits of an element's
+    MD5; null for an empty set. Equal places of two signatures estimate the sets' Jaccard similarity."""
+    h = F.transform(sh, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("bigint"))
+    one = lambda e: F.array(*[F.pmod(e * a + b, F.lit(PRIME)) for a, b in minhash_factors(seeds)])
+    least = F.aggregate(h, F.array_repeat(F.lit(PRIME).cast("bigint"), seeds), lambda s, e: F.zip_with(s, one(e), lambda x, y: F.least(x, y)))
     return F.when(F.size(sh) > 0, least)
 
 
+def minhash_factors(seeds: int) -> list[tuple[int, int]]:
+    """(a, b) of each function, below 2**30, by a multiplicative rule."""
+    return [((i + 1) * 2_654_435_761 % (1 << 30) | 1, (i + 1) * 40_503 % (1 << 30)) for i in range(seeds)]
+
+
 def strip_thought(x: Column, end: str = "</think>") -> Column:
     """What follows the last end mark; all of it if there is none."""
     return F.element_at(F.split(x, end, -1), -1)

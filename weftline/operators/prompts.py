@@ -68,15 +68,19 @@ def periodic(step: Column, every: int | None, per_epoch: int | None = None, tota
 
 
 def budget(batch: int, per_step: int, steps: int | None = None, rollouts: int | None = None) -> tuple[int, int]:
-    """(rollouts, optimizer steps): a rollout's batch is a whole number of steps, and steps must fill whole rollouts."""
-    each, rest = divmod(batch, per_step)
+    """(rollouts, optimizer steps): a rollout's batch is a whole number of steps, and steps must fill whole rollouts.
+
+    Rollouts, if given, decide; without either number there are 100.
+    """
+    each, rest = divmod(batch, per_step) if batch > 0 and per_step > 0 else (0, 1)
     if rest or not each:
-        raise ValueError("a batch has to be a whole number of steps")
-    if rollouts is not None:
-        return rollouts, rollouts * each
-    if steps is None or steps % each:
-        raise ValueError("the steps don't fill whole rollouts")
-    return steps // each, steps
+        raise ValueError("a batch has to be a positive number of whole steps")
+    if rollouts is None and steps is not None:
+        rollouts, rest = divmod(steps, each)
+    rollouts = 100 if rollouts is None else rollouts
+    if rest or rollouts <= 0:
+        raise ValueError("a positive number of whole rollouts is needed")
+    return rollouts, rollouts * each
 
 
 def least_loaded(loads: dict[str, int], requests: int) -> list[str]:

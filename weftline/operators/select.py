@@ -88,6 +88,15 @@ def interleave(left: DataFrame, right: DataFrame, ord_col: str, group: int) -> D
     return left.where(turn == 0).unionByName(right.where(turn == 1))
 
 
+def join_positions(left: DataFrame, right: DataFrame, shard: str, place: str) -> DataFrame:
+    """Rows of two tables that stand at the same place of a shard; shards with different numbers of rows are an error."""
+    n = lambda df, name: df.groupBy(shard).agg(F.count("*").alias(name))
+    differ = n(left, "_a").join(n(right, "_b"), shard, "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b")))
+    if bad := differ.select(shard).limit(5).collect():
+        raise ValueError(f"shards with different numbers of rows: {[r[0] for r in bad]}")
+    return left.join(right, [shard, place])
+
+
 def choose_limit(candidates: list[tuple[int, bool]], override: int | None = None) -> int:
     """The least limit that passes its checks, else the largest; an override wins."""
     if override is not None:

@@ -17,8 +17,10 @@ def docs(s, d):
     return table(s, d, "documents")
 
 
-def norm_token_len(s, d):
-    return docs(s, d).select("doc_id", F.size(T.norm_tokens(F.col("text"))).cast("long").alias("n_tokens"))
+def prompt_tokens(s, d):
+    """Tokens of texts, every second one with the words around it that prompts have."""
+    x = F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit(" Solve the following  coding problem using the programming language Python:\n"), "text", F.lit("\nNow solve the problem and return the code. "))).otherwise(F.col("text"))
+    return docs(s, d).select("doc_id", T.prompt_tokens(x).alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.sha2(F.array_join("t", " "), 256).alias("digest"))
 
 
 def shingle_count(short, k=5):
@@ -96,7 +98,7 @@ def near_greedy(s, d):
 
 def minhash(s, d):
     sh = T.shingles(T.norm_tokens(F.col("text")), 5, "none")
-    return docs(s, d).select("doc_id", F.size(F.coalesce(T.minhash(sh, 16), F.array().cast("array<bigint>"))).cast("long").alias("n_hashes"))
+    return docs(s, d).select("doc_id", F.coalesce(F.array_join(T.minhash(sh, 16), ","), F.lit("")).alias("signature"))
 
 
 def hash_sample(s, d):
@@ -247,7 +249,7 @@ def jaccards(s, d):
 
 
 QUERIES = {
-    "fn_norm_tokens": norm_token_len, "fn_shingles_tuple": shingle_count("whole"), "fn_shingles_join": shingle_count("none"),
+    "fn_norm_tokens": prompt_tokens, "fn_shingles_tuple": shingle_count("whole"), "fn_shingles_join": shingle_count("none"),
     "join_inverted_shingle": decontam, "except_contaminated": decontam_clean, "join_exact_benchmark": exact_benchmark,
     "agg_exact_dedup": exact_dedup, "agg_exact_dedup_audit": exact_audit, "agg_norm_dedup": norm_dedup, "agg_conflict_groups": conflicts,
     "join_lsh_candidates": near_pairs, "near_dedup_greedy": near_greedy, "fn_minhash": minhash,
@@ -262,7 +264,7 @@ PLAIN = r"""regexp_replace(lower(coalesce(text, '')), '[!"#$%&''()*+,\-./:;<=>?@
 MARKED = rf"regexp_replace({PLAIN}, '([\pL\pN_]+)', chr(1) || '\1' || chr(1), 'g')"  # whole words between marks
 ANSWER = rf"trim(regexp_replace(replace(regexp_replace({MARKED}, chr(1) || '(a|an|the)' || chr(1), ' ', 'g'), chr(1), ''), '\s+', ' ', 'g'))"
 SQL = {
-    "fn_norm_tokens": f"SELECT doc_id, len({TOK})::BIGINT AS n_tokens FROM documents",
+    "fn_norm_tokens": "SELECT doc_id, len(t)::BIGINT AS n_tokens, sha256(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[a-z0-9]+') AS t FROM documents)",
     "fn_shingles_tuple": shingle_sql("whole"),
     "fn_shingles_join": shingle_sql("none"),
     "join_inverted_shingle": PAIRS + "SELECT doc_id, item_id, shared, round(jaccard, 6) AS jaccard, round(overlap, 6) AS overlap FROM hit",
@@ -273,7 +275,7 @@ SQL = {
     "agg_norm_dedup": f"SELECT doc_id, length(k)::BIGINT AS key_len FROM (SELECT doc_id, array_to_string({TOK}, ' ') AS k FROM documents) QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id) = 1",
     "agg_conflict_groups": f"SELECT sha256(array_to_string({TOK}, ' ')) AS h, count(*) AS n_rows, count(DISTINCT quality) AS n_targets, string_agg(DISTINCT lang, ',' ORDER BY lang) AS kinds FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING count(DISTINCT quality) >= 2",
     "join_lsh_candidates": NEAR,
-    "fn_minhash": f"SELECT doc_id, (CASE WHEN len({TOK}) >= 5 THEN 16 ELSE 0 END)::BIGINT AS n_hashes FROM documents",
+    "fn_minhash": f"WITH g AS (SELECT doc_id, unnest(CASE WHEN len(t) >= 5 THEN list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i+4], ' '))) ELSE [] END) AS g FROM (SELECT doc_id, {TOK} AS t FROM documents)), h AS (SELECT doc_id, ('0x' || substr(md5(g), 1, 8))::BIGINT AS h FROM g), m AS (SELECT doc_id, " + " || ',' || ".join(f"min((h * {a} + {b}) % {T.PRIME})" for a, b in T.minhash_factors(16)) + " AS s FROM h GROUP BY 1) SELECT doc_id, coalesce(s, '') AS signature FROM documents LEFT JOIN m USING (doc_id)",
     "sample_hash_order": "SELECT doc_id, lang FROM documents ORDER BY sha256('42' || chr(0) || doc_id::VARCHAR), doc_id LIMIT 100",
     "limit_prefix": "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS ord FROM documents WHERE length(text) <= 2000 QUALIFY ord < 150",
     "scan_row_slice": "SELECT doc_id, lang FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS o, count(*) OVER () AS c FROM documents) WHERE o >= c - 120 AND o < c - 20",

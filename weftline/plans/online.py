@@ -21,8 +21,7 @@ def _named(rows):
 
 
 def stream_tumbling(s, d):
-    name = "_w" + shared_folder(s, "x").rpartition("-")[2]
-    return _named(rollout.run_once(s, rollout.windows(stream(s, d), "6 hours"), name, shared_folder(s, "stream")))
+    return _named(rollout.run_once(s, rollout.windows(stream(s, d), "6 hours"), shared_folder(s, "stream")))
 
 
 def sliding(s, d):

@@ -115,8 +115,16 @@ def sessions(events: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
 
 
-def run_once(spark: SparkSession, stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """All that is there now, through a streaming query, into a table in memory."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(spark: SparkSession, stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """All that is there now, through a streaming query, into Parquet below path: in complete mode the last batch's rows."""
+    last = {}
+
+    def put(df: DataFrame, i: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/rows/batch={i}")
+        last["batch"] = i
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows/batch={last['batch']}" if mode == "complete" else f"{path}/rows")
