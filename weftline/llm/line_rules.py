@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, spark: SparkSession, most_docs: in
                     yield pa.RecordBatch.from_pylist([{"doc_id": doc, "quality": quality, "lines": len(x), "x": x.astype(np.float32).tobytes()}], schema)
 
     order = ["doc_id", "lines", "quality"]
-    found = shared.written(rows.mapInArrow(get, "doc_id long, quality int, lines long, x binary"), spark, "line-features")
+    found = shared.written(rows.mapInArrow(shared.tidy(get), "doc_id long, quality int, lines long, x binary"), spark, "line-features")
     chosen, room = [], most_lines
     for r in found.select(F.xxhash64("doc_id").alias("h"), *order).orderBy("h", *order).limit(most_docs).collect():
         if r.lines <= room:
@@ -233,7 +233,7 @@ def judge(docs: DataFrame, field: Field, share: float = 0.5, keep_columns: bool
                 cols = [part.column(part.schema.get_field_index(c)) for c in kept] + [pa.array([x[k] for x in m], pa.int64()) for k in range(5)] + [pa.array(failed, pa.bool_()), pa.array(good, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(cols, names=[*kept, *new, "base_failed", "kept"])
 
-    return docs.mapInArrow(get, schema)
+    return docs.mapInArrow(shared.tidy(get), schema)
 
 
 def op6_line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

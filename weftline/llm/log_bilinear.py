@@ -136,7 +136,7 @@ def count_words(train: DataFrame, spark: SparkSession) -> DataFrame:
                 words, at, _ = tokens(part.column(part.schema.get_field_index("text")))
                 yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(at, minlength=len(words)).astype(np.int64))], names=["word", "n"])
 
-    return shared.written(train.select("text").mapInArrow(get, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), spark, "word-counts")
+    return shared.written(train.select("text").mapInArrow(shared.tidy(get), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), spark, "word-counts")
 
 
 def vocabulary(counts: DataFrame, n_texts: int) -> Vocabulary:
@@ -163,7 +163,7 @@ def vocabulary(counts: DataFrame, n_texts: int) -> Vocabulary:
             rare = pc.or_(pc.less(n, bound), pc.greater(pc.binary_length(w), LONGEST))
             yield pa.RecordBatch.from_arrays([endings(w.filter(rare)), pc.add(n.filter(rare), 1), n.filter(rare)], names=["ending", "m", "n"])
 
-    by_end = counts.mapInArrow(get, "ending string, m long, n long").groupBy("ending").agg(F.sum("m").alias("m"), F.sum("n").alias("n"))
+    by_end = counts.mapInArrow(shared.tidy(get), "ending string, m long, n long").groupBy("ending").agg(F.sum("m").alias("m"), F.sum("n").alias("n"))
     m_all, n_all = by_end.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     best = by_end.orderBy(F.desc("m"), "ending").limit(ENDINGS - 1).collect()
     mass, seen = np.ones(ENDINGS), np.zeros(ENDINGS)
@@ -314,7 +314,7 @@ def train(docs: DataFrame, vocab: Vocabulary, spark: SparkSession, batch_size: i
                 ends = pa.array(np.arange(len(some) + 1, dtype=np.int32) * part.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some), pa.array(n[some]), pa.ListArray.from_arrays(ends, pa.array(part[some].reshape(-1)))], names=["part", "row", "n", "vector"])
 
-    moved = shared.written(docs.select("text").mapInArrow(get, MOVED), spark, "moved")
+    moved = shared.written(docs.select("text").mapInArrow(shared.tidy(get), MOVED), spark, "moved")
     weighted = [F.sum(F.col("n") * F.get("vector", F.lit(i)).cast("double")).alias(f"s{i}") for i in range(DIM + 1)]
     mean = moved.groupBy("part", "row").agg(F.sum("n").alias("n"), *weighted)
     got = mean.select("part", "row", *[(F.col(f"s{i}") / F.col("n")).cast("float").alias(f"s{i}") for i in range(DIM + 1)]).toArrow()
@@ -380,7 +380,7 @@ def score(docs: DataFrame, vocab: Vocabulary, counts: DataFrame, model: Model, s
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(starts)), pa.array(add(known.astype(np.int64))), pa.array(add(base)), pa.array(add(got)), rest.cast(schema.field("rest").type)], schema=schema)
 
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<struct<word:string,n:bigint>>"
-    rows = docs.select("doc_id", "held_out", "text").mapInArrow(get, ddl)
+    rows = docs.select("doc_id", "held_out", "text").mapInArrow(shared.tidy(get), ddl)
     rows = shared.written(rows.withColumn("_row", F.monotonically_increasing_id()), spark, "lm-rows")
     rest = rows.select("_row", F.explode("rest").alias("r")).select("_row", "r.word", "r.n")
     rest = rest.join(counts.withColumnRenamed("n", "c"), "word").select("_row", "n", (F.col("n") * F.log10(F.col("c") + 1)).alias("more"))

@@ -232,7 +232,7 @@ def search(
                 lists = order[np.arange(order.shape[1]) < tried[:, None]].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(lists))], names=["row", "vec_id", "v", "parts"])
 
-    routed = usual.mapInArrow(route, "row long, vec_id long, v array<double>, parts array<int>")
+    routed = usual.mapInArrow(shared.tidy(route), "row long, vec_id long, v array<double>, parts array<int>")
     routed = routed.unionByName(index.where(F.size("v") != d).withColumn("parts", F.array(-F.size("v"))))
     routed = shared.written(routed, spark, "routed")
     asking = routed.where(is_query("vec_id"))
@@ -275,7 +275,7 @@ def search(
             yield current.result()
 
     pairs = stored.select(*cols).unionByName(asking.select(*cols)).repartition("part", "block", "run").sortWithinPartitions("part", "block", "run", F.desc("asks"))
-    found = pairs.mapInArrow(rank, FOUND).groupBy("row", "query_id").agg(F.flatten(F.collect_list("found")).alias("found"))
+    found = pairs.mapInArrow(shared.tidy(rank), FOUND).groupBy("row", "query_id").agg(F.flatten(F.collect_list("found")).alias("found"))
     first = F.slice(F.array_sort(F.transform("found", lambda x: F.struct((-x["score"]).alias("less"), x["vec_id"].alias("vec_id")))), 1, k)
     return found.select("query_id", F.posexplode(first).alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "x.vec_id", (-F.col("x.less")).alias("score"))
 

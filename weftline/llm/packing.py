@@ -40,8 +40,13 @@ def cut(n: int, most: int) -> list[int]:
     return [short] * (short > 0) + [most] * (n // most)
 
 
-def pieces(docs: DataFrame, tokenizer: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each piece of each text (null: empty, which has the end id alone)."""
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def cutter(tokenizer: str, most: int):
+    """A function from batches (doc_id, text) to batches of PIECE: a row for each piece of each text (null: empty, which
+    has the end id alone)."""
 
     def get(batches):
         enc = tokens.encoder(tokenizer)
@@ -58,7 +63,12 @@ def pieces(docs: DataFrame, tokenizer: str, most: int, id_col: str = "doc_id", t
                         at += size
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, PIECE)], schema=PIECE)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(get, PIECE_DDL)
+    return get
+
+
+def pieces(docs: DataFrame, tokenizer: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each piece of each text (null: empty, which has the end id alone)."""
+    return texts(docs, id_col, text_col).mapInArrow(shared.tidy(cutter(tokenizer, most)), PIECE_DDL)
 
 
 def best_fit(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,9 +122,12 @@ def as_items(batch: pa.RecordBatch, first: int) -> pa.Table:
     return pa.Table.from_batches([batch.select(PIECE.names)]).append_column("sequence_id", pa.array(numbers)).append_column("offset", pa.array(np.zeros(n, np.int64)))
 
 
-def pack(parts: DataFrame, spark: SparkSession, most: int = 2048, slack: int = 8, fan: int = 16, carry: int | None = None, slab: int = 200_000) -> DataFrame:
+def pack(parts: DataFrame, spark: SparkSession, most: int = 2048, slack: int = 8, fan: int = 16, carry: int | None = None, slab: int = 200_000, make=None) -> DataFrame:
     """Places every piece (columns of PIECE; others are not read) in a sequence of at most `most` ids.
 
+    make: a function from batches of parts' rows to batches of pieces, where parts aren't pieces yet; it runs in the
+    worker that packs them, so that a task has one.
+
     Pieces have 1 to `most` ids; equal rows are pieces of their own. Bins with more than most - slack ids are
     closed at once. A task packs where its pieces lie, `slab` pieces at a time, the open bins of one slab being items of
     the next, so its memory is bounded whatever it gets. carry: open bins that a task hands up beside its emptiest one,
@@ -162,7 +175,9 @@ def pack(parts: DataFrame, spark: SparkSession, most: int = 2048, slack: int = 8
 
         return get
 
-    done = [shared.written(parts.select(*PIECE.names).mapInArrow(first_round, PLACED_DDL), spark, "pack-0")]
+    rows = parts.select(*PIECE.names) if make is None else parts
+    start = first_round if make is None else lambda batches: first_round(make(batches))
+    done = [shared.written(rows.mapInArrow(shared.tidy(start), PLACED_DDL), spark, "pack-0")]
     task = F.shiftright("sequence_id", TASK_BIT).bitwiseAND(F.lit(TASKS))
     top = done[0].where("open").agg(F.max(task)).first()[0]
     tasks = 0 if top is None else top + 1
@@ -171,7 +186,7 @@ def pack(parts: DataFrame, spark: SparkSession, most: int = 2048, slack: int = 8
         items = done[-1].where("open").drop("open")
         group = F.floor(task / fan)
         items = items.repartition(groups, group).sortWithinPartitions(group) if groups > 1 else items.coalesce(1)
-        done.append(shared.written(items.mapInArrow(later_round(k, groups == 1), PLACED_DDL), spark, f"pack-{k}"))
+        done.append(shared.written(items.mapInArrow(shared.tidy(later_round(k, groups == 1)), PLACED_DDL), spark, f"pack-{k}"))
         tasks = groups if groups > 1 else 0
     out = done[0].where("not open")
     for x in done[1:]:
@@ -179,9 +194,13 @@ def pack(parts: DataFrame, spark: SparkSession, most: int = 2048, slack: int = 8
     return out.drop("open")
 
 
+def pack_texts(docs: DataFrame, spark: SparkSession, tokenizer: str, most: int = 2048) -> DataFrame:
+    """Every piece of every text and its place in a sequence of at most `most` ids."""
+    return pack(texts(docs), spark, most, make=cutter(tokenizer, most))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every text of `documents` and its place in a sequence of at most 2048 ids."""
     import public_tokenizers
 
-    docs = shared.table(spark, sf_dir, "documents")
-    return pack(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048), spark)
+    return pack_texts(shared.table(spark, sf_dir, "documents"), spark, public_tokenizers.path("byte_bpe_50k.json"))

@@ -126,7 +126,7 @@ def features(docs: DataFrame, spark: SparkSession) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "held_out", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (shared.id_remainder("doc_id", 5) == 0).alias("held_out"))
-    return shared.written(rows.mapInArrow(get, "doc_id long, held_out boolean, x array<double>"), spark, "features")
+    return shared.written(rows.mapInArrow(shared.tidy(get), "doc_id long, held_out boolean, x array<double>"), spark, "features")
 
 
 def train(rows: DataFrame, labels: DataFrame) -> Model | float:
@@ -149,7 +149,7 @@ def train(rows: DataFrame, labels: DataFrame) -> Model | float:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v))), pa.array(v)], names=["i", "v"])
 
     marks = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("y"))
-    got = rows.join(marks, "doc_id").select("x", "y").mapInArrow(get, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    got = rows.join(marks, "doc_id").select("x", "y").mapInArrow(shared.tidy(get), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     v = np.zeros(2 + 2 * d + 2 * d * d)
     for r in got:
         v[r.i] = r.v
@@ -166,7 +166,7 @@ def score(rows: DataFrame, model: Model | float, threshold: float = 0.3) -> Data
             s = np.full(len(x), model) if isinstance(model, float) else model.scores(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(get, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(shared.tidy(get), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op4_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

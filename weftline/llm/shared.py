@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 import zlib
 
 import numpy as np
@@ -13,38 +12,54 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.sources import kept
+
 #: Word separators: space and U+0009 to U+000D; a word is a run of anything else.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_folder: dict[str, str] = {}
+#: Spark sends rows to Python in batches of at most this many bytes; its own bound of 64 MB is held several times over.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
-def work_folder(spark: SparkSession, what: str) -> str:
-    """A new folder name below the folder that all executors share (spark.checkpoint.dir).
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on batches for Python, if it is above BATCH_BYTES."""
+    now = (spark.conf.get(BATCH, None) or "").rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
 
-    Where that setting is absent, as in tests on one machine, a temporary folder serves.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _own_folder:
-            _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        base = _own_folder[app]
-    return f"{base.rstrip('/')}/weftline/{what}-{uuid.uuid4().hex[:12]}"
+
+def work_folder(spark: SparkSession, what: str) -> str:
+    """A new folder name below the folder that all executors share (spark.checkpoint.dir)."""
+    return kept.shared_folder(spark, what)
 
 
 def written(df: DataFrame, spark: SparkSession, what: str) -> DataFrame:
     """df as a table in the shared folder, read back: it cuts lineage and outlives executors."""
-    path = work_folder(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    small_batches(spark)
+    return kept.kept(df, what)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def tidy(get):
+    """get, a function for mapInArrow, after which the worker gives back the memory that it no longer needs."""
+
+    def run(batches):
+        try:
+            yield from get(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; other libraries do without
+            if trim:
+                trim(0)
+
+    return run
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """The store of a path in the shared folder, and the path in it."""
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")

@@ -43,9 +43,9 @@ def fingerprint(text: str | None, shingle: int = 4, step: int = 1 << 15) -> int:
     return int(np.packbits(2 * count > len(starts), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 4, keep_text: bool = False) -> DataFrame:
-    """docs with fp (the fingerprint as a signed long); without the text, unless keep_text."""
-    kept = [c for c in docs.columns if keep_text or c != text_col]
+def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 4) -> DataFrame:
+    """docs with fp (the fingerprint as a signed long) in place of the text."""
+    kept = [c for c in docs.columns if c != text_col]
     schema = docs.select(*kept).withColumn("fp", F.lit(0).cast("long")).schema
 
     def get(batches):
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 4, keep
                 fps = np.array([fingerprint(t, shingle) for t in some.column(at).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*(some.column(some.schema.get_field_index(c)) for c in kept), pa.array(fps)], names=[*kept, "fp"])
 
-    return docs.mapInArrow(get, schema)
+    return docs.mapInArrow(shared.tidy(get), schema)
 
 
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -71,7 +71,7 @@ def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
         i = np.arange(BITS * BITS + 1)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(np.append(both.reshape(-1), n).astype(np.int64))], names=["i", "n"])
 
-    sums = dict(fps.select("fp").mapInArrow(get, "i long, n long").groupBy("i").agg(F.sum("n")).collect())
+    sums = dict(fps.select("fp").mapInArrow(shared.tidy(get), "i long, n long").groupBy("i").agg(F.sum("n")).collect())
     if not sums:
         return 0, np.zeros((BITS, BITS))
     return sums.pop(BITS * BITS), np.array([sums[i] for i in range(BITS * BITS)], float).reshape(BITS, BITS)
@@ -221,7 +221,7 @@ def links(fps: DataFrame, spark: SparkSession, most: int = 4, chunk: int = 1000)
     A bucket with more than `chunk` rows is dealt in pairs of chunks; every pair of its rows meets in a task.
     """
     n, both = bit_counts(fps)
-    rows = fps.select("fp").mapInArrow(probes(plan(n, both, most)), "part int, value long, fp long, listed boolean")
+    rows = fps.select("fp").mapInArrow(shared.tidy(probes(plan(n, both, most))), "part int, value long, fp long, listed boolean")
     rows = shared.written(rows, spark, "probes")
     hot = rows.groupBy("part", "value").count().where(F.col("count") > chunk).select("part", "value", F.ceil(F.col("count") / chunk).cast("int").alias("k"))
     hot = shared.written(hot, spark, "hot-buckets")
@@ -232,7 +232,7 @@ def links(fps: DataFrame, spark: SparkSession, most: int = 4, chunk: int = 1000)
         many = many.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
         keyed = keyed.unionByName(many.select("part", "value", F.least("c", "j").alias("x"), F.greatest("c", "j").alias("y"), "fp", "listed", F.when(F.col("c") <= F.col("j"), 0).otherwise(1).alias("side")))
     keys = ["part", "value", "x", "y"]
-    return keyed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify(most), "a long, b long")
+    return keyed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(shared.tidy(verify(most)), "a long, b long")
 
 
 def classes(prints: DataFrame, spark: SparkSession, most: int = 4) -> DataFrame:
@@ -259,13 +259,13 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, most: int = 4, shingle
 
 def keep_first(docs: DataFrame, spark: SparkSession, most: int = 4, shingle: int = 4) -> DataFrame:
     """docs with one row of each component: the least doc_id (nulls last), of equal ones the first in the table."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    prints = shared.written(fingerprints(numbered, shingle=shingle, keep_text=True), spark, "prints")
+    numbered = shared.written(docs.withColumn("_row", F.monotonically_increasing_id()), spark, "numbered")
+    prints = shared.written(fingerprints(numbered.select("_row", "doc_id", F.col("text").cast("string").alias("text")), shingle=shingle), spark, "prints")
     of = classes(prints, spark, most)
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
     least = prints.groupBy("fp").agg(F.min(rank).alias("first"))
     kept = of.join(least, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
-    return prints.join(kept, "_row", "left_semi").select(*docs.columns)
+    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

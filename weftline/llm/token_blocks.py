@@ -180,7 +180,7 @@ def write_blocks(docs: DataFrame, spark: SparkSession, tokenizer: str, id_col: s
             name = path.rpartition("/")[2]
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": f"{folder}/{name}", "bytes": n, "docs": len(w.doc_ids), "tokens": sum(w.lengths)}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("bytes", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
-    return shared.written(rows.mapInArrow(put, MANIFEST), spark, "token-manifest")
+    return shared.written(rows.mapInArrow(shared.tidy(put), MANIFEST), spark, "token-manifest")
 
 
 def read_blocks(manifest: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def read_blocks(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(r.doc_ids, mask=r.nulls.astype(bool)), pa.array(starts + before[shard]), pa.array(r.ends - starts), pa.array(crcs)], schema=out)
 
     files = manifest.select("shard", "path", "bytes").repartition(max(1, len(before)), "shard") if len(before) > 1 else manifest.select("shard", "path", "bytes")
-    return files.mapInArrow(get, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(shared.tidy(get), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
