@@ -35,7 +35,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Each piece's place in a sequence of at most 2048 ids."""
     import public_tokenizers
 
-    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048), spark)
+    return packing.pack_texts(docs, spark, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
