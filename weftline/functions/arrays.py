@@ -129,6 +129,22 @@ def tilted(log_p: Column, delta: Column, alpha: float) -> Column:
     return softmax(F.zip_with(log_p, delta, lambda a, d: a + d / alpha))
 
 
+def candidate_log_probs(logits: Column, ids: Column, temperature: float) -> Column:
+    """Log probabilities of ids among all logits at a temperature; an id that isn't there is an error."""
+
+    def one(v: Column) -> Column:
+        z = log_sum_exp(v)
+        pick = lambda i: F.coalesce(F.get(v, i), F.raise_error(F.lit("no such id")).cast("double"))
+        return F.transform(ids, lambda i: pick(i) - z)
+
+    return bind(F.transform(logits, lambda x: x / temperature), one)
+
+
+def same_width(x: Column, n: int) -> Column:
+    """The array if it has n elements, else an error."""
+    return F.when(F.size(x) == n, x).otherwise(F.raise_error(F.lit(f"a row has another width than {n}")).cast("array<float>"))
+
+
 def kl(p: Column, q: Column) -> Column:
     return total(F.zip_with(p, q, lambda a, b: F.when(a > 0, a * (F.log(a) - F.log(b))).otherwise(0.0)))
 
@@ -169,16 +185,34 @@ def reverse_scan(x: Column, factor: float) -> Column:
     return F.reverse(F.aggregate(F.reverse(x), state, step, lambda s: s["out"]))
 
 
+def chunked_scan(x: Column, factor: float, size: int) -> Column:
+    """reverse_scan by chunks: each is scanned alone, then the first elements of all of them with factor ** size, whose
+    results are what each chunk gets from the next one. No array longer than a chunk or the number of chunks is copied."""
+    n = F.size(x)
+    starts = F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / size), F.lit(0)).cast("int"))
+    local = F.transform(starts, lambda c: reverse_scan(F.slice(x, c * size + 1, size), factor))
+
+    def joined(chunks: Column) -> Column:
+        heads = reverse_scan(F.transform(chunks, lambda c: F.get(c, F.lit(0))), factor**size)
+
+        def whole(h: Column) -> Column:
+            return F.flatten(F.transform(chunks, lambda c, k: F.transform(c, lambda v, i: v + F.pow(F.lit(factor), F.size(c) - i) * F.coalesce(F.get(h, k + 1), F.lit(0.0)))))
+
+        return bind(heads, whole)
+
+    return F.when(n > 0, bind(local, joined)).otherwise(F.array().cast(DOUBLES))
+
+
 def discounted_returns(rewards: Column, gamma: float) -> Column:
     return reverse_scan(doubles(rewards), gamma)
 
 
-def gae(rewards: Column, values: Column, gamma: float, lam: float) -> tuple[Column, Column]:
-    """Advantages and returns; after the last token the value is zero."""
+def gae(rewards: Column, values: Column, gamma: float, lam: float, chunk: int | None = None) -> tuple[Column, Column]:
+    """Advantages and returns; after the last token the value is zero. chunk: scan by chunks of so many tokens."""
     r, v = doubles(rewards), doubles(values)
     after = F.concat(F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0))), F.array(F.lit(0.0)))
     delta = F.zip_with(F.zip_with(r, after, lambda a, b: a + gamma * b), v, lambda a, b: a - b)
-    adv = reverse_scan(delta, gamma * lam)
+    adv = reverse_scan(delta, gamma * lam) if chunk is None else chunked_scan(delta, gamma * lam, chunk)
     return adv, F.zip_with(adv, v, lambda a, b: a + b)
 
 

@@ -20,6 +20,23 @@ def floor_rank(values: Column, q: float) -> Column:
     return F.element_at(F.array_sort(values), F.least(F.size(values), F.floor(F.size(values) * q).cast("int") + 1))
 
 
+def exact_rank(rows: DataFrame, key: str, value: str, q: float, name: str) -> DataFrame:
+    """(key, name): floor_rank of each key's values by counts of equal ones, so that no task holds a key's values."""
+    n = rows.groupBy(key, value).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(key)
+    n = n.withColumns({"_upto": F.sum("_n").over(w.orderBy(value)), "_all": F.sum("_n").over(w)})
+    place = F.least("_all", F.floor(F.col("_all") * q) + 1)
+    return n.where(F.col("_upto") >= place).groupBy(key).agg(F.min(value).alias(name))
+
+
+def mixture_problems(parts: DataFrame, mix: str, name: str, weight: str, rows: str, group: int) -> DataFrame:
+    """(mix, problems) of each mixture: `weights` that don't sum to one within 1e-9, `names` that repeat, `groups` that rows
+    don't fill, and `unequal` numbers of rows."""
+    by = parts.groupBy(mix).agg(F.abs(F.sum(weight) - 1).alias("_w"), (F.count(name) - F.countDistinct(name)).alias("_d"), F.count_if(F.col(rows) % group != 0).alias("_b"), F.countDistinct(rows).alias("_k"))
+    codes = F.array(F.when(F.col("_w") > 1e-9, "weights"), F.when(F.col("_d") > 0, "names"), F.when(F.col("_b") > 0, "groups"), F.when(F.col("_k") > 1, "unequal"))
+    return by.select(mix, F.array_join(F.array_sort(F.filter(codes, lambda x: x.isNotNull())), ",").alias("problems"))
+
+
 def distribution(rows: DataFrame, kind: str, kinds: DataFrame) -> DataFrame:
     """(kind, n, pct) with all of `kinds`, zero for those that don't occur."""
     n = rows.groupBy(kind).agg(F.count("*").alias("n"))

@@ -93,7 +93,7 @@ def protocol(s, d):
 
 QUERIES = {
     "agg_server_metrics": server_metrics, "agg_bucket_means": bucket_means, "fn_context_projection": projection, "proj_build_messages": built, "win_group_norm_whole_batch": whole_batch,
-    "win_running_shards": running_shards, "proj_train_data": train_rows, "fn_batch_pad": shifted, "fn_served_model": served, "fn_protocol_hash": protocol,
+    "win_running_shards": running_shards, "fn_batch_pad": shifted, "fn_served_model": served, "fn_protocol_hash": protocol,
 }
 SQL = {
     "agg_server_metrics": "SELECT 'tokens_total' AS name, round(sum(floor(value)), 4) AS value FROM events UNION ALL SELECT 'cache_usage', round(avg(round(value / 100, 4)), 4) FROM events",
@@ -102,7 +102,6 @@ SQL = {
     "proj_build_messages": "SELECT doc_id, (2 + (left(text, 10) <> '')::INT + (substr(text, 11, 10) <> '')::INT)::BIGINT AS n, 'asset0,asset1' AS assets FROM documents",
     "win_group_norm_whole_batch": "SELECT event_id, round(value - avg(value) OVER (PARTITION BY CASE WHEN c % 8 = 0 THEN o // 8 ELSE 0 END), 6) AS advantage FROM (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS o, count(*) OVER () AS c FROM events)",
     "win_running_shards": "SELECT o_orderstatus, (sum(count(*)) OVER (ORDER BY o_orderstatus) - count(*))::BIGINT AS before FROM orders GROUP BY 1",
-    "proj_train_data": "SELECT event_id, (CASE WHEN event_type = 'error' THEN 0 WHEN event_id % 3 = 0 THEN (event_id % 5 + 2) // 2 ELSE event_id % 5 + 1 END)::BIGINT AS effective, (value > 95)::INT AS truncated FROM events",
     "fn_batch_pad": "SELECT vec_id, 68::BIGINT AS n, coalesce(list_position(list_transform(embedding, lambda x: x > 0), true) + 3, 0)::BIGINT AS first FROM embeddings",
     "fn_served_model": "SELECT CASE WHEN event_type = 'view' THEN 'verified' WHEN event_type LIKE 'c%' THEN 'alias' ELSE 'other' END AS kind, count(*) AS n FROM events GROUP BY 1",
     "fn_protocol_hash": "SELECT left(sha256('{\"model\":\"' || c_mktsegment || '\",\"seed\":' || (c_nationkey % 3) || '}'), 12) AS protocol, count(*) AS n FROM customer GROUP BY 1",

@@ -120,26 +120,21 @@ def multi_turn(s, d):
 
 
 QUERIES = {
-    "fn_role_sequence": roles, "fn_conversation_kind": kind, "fn_target_kind": target_kind, "win_lag_pairs": same_role, "fn_dialogue_text": dialogue, "proj_excerpt": last_user,
-    "proj_chat_render": render, "agg_rendered_dedup": rendered_dedup, "fn_loss_mask_multi_turn": loss_mask, "filter_unanswered": unanswered, "pred_row_contract": contract,
-    "scan_turn_expansion": expansion, "proj_prefix_messages": prefix, "fn_stratum": stratum, "agg_measure_row": measure, "agg_multi_turn": multi_turn,
+    "fn_role_sequence": roles, "win_lag_pairs": same_role, "fn_dialogue_text": dialogue, "proj_excerpt": last_user,
+    "proj_chat_render": render, "fn_loss_mask_multi_turn": loss_mask, "filter_unanswered": unanswered, 
+    "scan_turn_expansion": expansion, "proj_prefix_messages": prefix, "agg_measure_row": measure, "agg_multi_turn": multi_turn,
 }
 G = "WITH g AS (SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn) AS m FROM conversations GROUP BY 1)"
 SQL = {
     "fn_role_sequence": "SELECT conv_id, string_agg(left(role, 1), '' ORDER BY turn) AS roles FROM conversations GROUP BY 1",
-    "fn_conversation_kind": "SELECT CASE WHEN u = 1 THEN 'single_turn' ELSE 'multi_turn' END AS kind, count(*) AS n FROM (SELECT count(*) FILTER (role = 'user') AS u FROM conversations GROUP BY conv_id) GROUP BY 1",
-    "fn_target_kind": "SELECT CASE WHEN u = 0 THEN 'none' WHEN u = 1 THEN 'single' ELSE 'parallel' END AS kind, count(*) AS n FROM (SELECT count(*) FILTER (role = 'assistant') AS u FROM conversations GROUP BY conv_id) GROUP BY 1",
     "win_lag_pairs": "SELECT role, count(*) AS n FROM (SELECT role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) WHERE role = b GROUP BY 1",
     "fn_dialogue_text": "SELECT conv_id, sha256(t) AS digest, length(t)::BIGINT AS n_chars FROM (SELECT conv_id, coalesce(string_agg(role || ': ' || text, chr(10) ORDER BY turn) FILTER (role <> 'system'), '') AS t FROM conversations GROUP BY 1)",
     "proj_excerpt": r"SELECT conv_id, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 160) AS excerpt FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1",
     "proj_chat_render": "SELECT conv_id, sha256(string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn) || CASE WHEN arg_max(role, turn) = 'user' THEN '<|assistant|>' || chr(10) ELSE '' END) AS digest FROM conversations GROUP BY 1",
-    "agg_rendered_dedup": "SELECT count(*) AS kept, sum(c)::BIGINT AS ids FROM (SELECT min(conv_id) AS c FROM (SELECT conv_id, arg_min(text, turn) AS t FROM conversations GROUP BY 1) GROUP BY t)",
     "fn_loss_mask_multi_turn": "SELECT conv_id, sum(w)::BIGINT AS n, coalesce(sum(w) FILTER (role = 'assistant'), 0)::BIGINT AS ones FROM (SELECT *, len(string_split(text, ' ')) AS w FROM conversations) GROUP BY 1",
     "filter_unanswered": "SELECT conv_id, turn FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations) WHERE role = 'user' AND coalesce(nx, '') <> 'assistant'",
-    "pred_row_contract": G + " SELECT conv_id, array_to_string(list_sort(list_filter([CASE WHEN len(list_filter(m, lambda x: x.role NOT IN ('system', 'user', 'assistant', 'tool'))) > 0 THEN 'role' END, CASE WHEN m[-1].role <> 'assistant' THEN 'open' END, CASE WHEN len(list_filter(m[2:], lambda x: x.role = 'system')) > 0 THEN 'late_system' END, CASE WHEN len(list_filter(m, lambda x: trim(x.text) = '')) > 0 THEN 'empty' END, CASE WHEN len(list_filter(m, lambda x: contains(x.text, '<|'))) > 0 THEN 'framing' END, CASE WHEN m[-1].turn <> len(m) - 1 THEN 'gap' END], lambda x: x IS NOT NULL)), ',') AS problems FROM g",
     "scan_turn_expansion": "SELECT conv_id, turn, coalesce(s, 0)::BIGINT AS start_step FROM (SELECT *, lead(role) OVER w AS nx, sum(CASE WHEN role = 'assistant' THEN len(string_split(text, ' ')) ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nx = 'assistant'",
     "proj_prefix_messages": "SELECT c.conv_id, count(*) FILTER (turn < u)::BIGINT AS n FROM conversations c JOIN (SELECT conv_id, max(turn) AS u FROM conversations WHERE role = 'user' GROUP BY 1) USING (conv_id) GROUP BY 1",
-    "fn_stratum": "SELECT sha256(r || '|' || sha256(x)) AS stratum, count(*) AS n FROM (SELECT string_agg(left(role, 1), '' ORDER BY turn) AS r, CASE WHEN arg_min(role, turn) = 'system' THEN arg_min(text, turn) ELSE '' END AS x FROM conversations GROUP BY conv_id) GROUP BY 1 HAVING count(*) > 1",
     "agg_measure_row": "SELECT conv_id, coalesce(sum(w) FILTER (role = 'system'), 0)::BIGINT AS system_words, coalesce(sum(w) FILTER (role <> 'system'), 0)::BIGINT AS history_words, sum(w)::BIGINT AS words FROM (SELECT *, len(string_split(text, ' ')) AS w FROM conversations) GROUP BY 1",
     "agg_multi_turn": "WITH b AS (SELECT conv_id, sum(w) AS raw, coalesce(sum(w) FILTER (role = 'assistant'), 0) AS own, count(*) AS rounds FROM (SELECT *, len(string_split(text, ' ')) AS w FROM conversations) GROUP BY 1) SELECT round(avg(raw), 6) AS raw_mean, max(raw)::BIGINT AS raw_max, min(raw)::BIGINT AS raw_min, round(avg(own), 6) AS own_mean, round(avg((raw > 1000)::INT), 6) AS clipped, round(avg(rounds), 6) AS rounds FROM b",
 }

@@ -181,10 +181,10 @@ def mean_masks(s, d):
 
 QUERIES = {
     "join_benchmark_audit": benchmark_audit, "pk_sequences": packed, "pk_unpack": unpacked, "pk_dp_split": dp_split, "sample_mt_shuffle": mt_shuffle, "sample_epoch_shuffle": epoch_shuffle,
-    "agg_percentile_floor": percentile_floor, "agg_topn_names": top_names, "agg_dispositions": dispositions, "agg_card_compare": card, "agg_main_pcts": main_pcts, "agg_statistics": statistics,
-    "agg_reward_metrics": reward_metrics, "agg_spec_metrics": spec_metrics, "agg_rollout_perf": perf, "agg_objective": objective, "agg_drop_reasons": drop_reasons, "st_over_sampling": over_sampling,
+    "agg_percentile_floor": percentile_floor, "agg_topn_names": top_names, "agg_dispositions": dispositions, "agg_main_pcts": main_pcts, "agg_statistics": statistics,
+    "agg_reward_metrics": reward_metrics, "agg_rollout_perf": perf, "agg_drop_reasons": drop_reasons, 
     "st_partial_rollout": carry, "st_resume": resume, "st_retry_classify": retries, "fn_flops": flops, "fn_teacher_tokens": teacher_map, "agg_length_excess": excess, "filter_rank_slice": context_rank,
-    "proj_dense_tensor": dense, "agg_rollout_columns": mean_masks,
+    
 }
 SQL = {
     "join_benchmark_audit": AUDIT,
@@ -192,15 +192,11 @@ SQL = {
     "agg_percentile_floor": "SELECT lang, list_sort(list(n_chars))[least(count(*), floor(count(*) * 0.9::DOUBLE)::BIGINT + 1)] AS p90 FROM documents GROUP BY 1",
     "agg_topn_names": "WITH w AS (SELECT doc_id, generate_subscripts(string_split(text, ' '), 1) AS i, unnest(string_split(text, ' ')) AS word FROM documents) SELECT word, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, min(doc_id::HUGEINT * 1000000000 + i) LIMIT 30",
     "agg_dispositions": "SELECT CASE WHEN quality IS NULL THEN 'unlabelled' WHEN quality = 0 THEN 'rejected' WHEN toxic = 1 THEN 'held' ELSE 'kept' END AS disposition, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
-    "agg_card_compare": "SELECT k AS category, count(doc_id) AS n FROM (SELECT unnest(['en', 'de', 'other']) AS k) LEFT JOIN documents ON k = CASE WHEN lang IN ('en', 'de') THEN lang ELSE 'other' END GROUP BY 1",
     "agg_main_pcts": "SELECT count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'es') AS es FROM documents",
     "agg_statistics": "SELECT event_type, round(avg(value), 6) AS mean, median(value) AS median FROM events GROUP BY 1",
     "agg_reward_metrics": "SELECT round(avg(value), 6) AS mean, max(value) AS longest, round(avg((value > 95)::INT), 6) AS truncated FROM events",
-    "agg_spec_metrics": "SELECT event_type, round(avg(CASE WHEN value > 0 THEN floor(value) / ceil(value) ELSE 0 END), 6) AS accept FROM events GROUP BY 1",
     "agg_rollout_perf": "SELECT event_type, round(sum(value) / (max(epoch_us(ts)) / 1e6 - min(epoch_us(ts)) / 1e6) * 1000, 6) AS rate, max(value) AS longest FROM events GROUP BY 1",
-    "agg_objective": "WITH t AS (SELECT avg(value) AS d, avg(value * value) AS k FROM events WHERE event_type <> 'error') SELECT round(d, 6) AS direct, round(k, 4) AS kl, round(d + 0.1 * k, 4) AS total FROM t",
     "agg_drop_reasons": "SELECT CASE WHEN value < 5 THEN 'low' WHEN value > 95 THEN 'high' ELSE 'kept' END AS reason, count(*) AS n FROM events GROUP BY 1",
-    "st_over_sampling": "SELECT user_id FROM (SELECT user_id, max(ts) AS t, avg(value) AS m FROM events GROUP BY 1) WHERE m > 50 ORDER BY t LIMIT 20",
     "st_partial_rollout": "SELECT count(*) AS n, 7 AS stamp, 0::BIGINT AS ones FROM events WHERE event_type = 'error'",
     "st_resume": "SELECT count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')",
     "st_retry_classify": "SELECT kind, sum(n)::BIGINT AS n, max(n) AS most FROM (SELECT user_id, CASE event_type WHEN 'error' THEN 'infrastructure' WHEN 'view' THEN 'agent' ELSE 'ok' END AS kind, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1",
@@ -208,6 +204,4 @@ SQL = {
     "fn_teacher_tokens": "WITH a AS (SELECT DISTINCT lang, unnest(string_split(text, ' ')) AS w FROM documents WHERE lang IN ('en', 'de')) SELECT count(*) AS n, count(b.w) AS mapped FROM (SELECT w FROM a WHERE lang = 'en') x LEFT JOIN (SELECT w FROM a WHERE lang = 'de') b ON x.w = b.w",
     "agg_length_excess": "SELECT lang, count(*) FILTER (n_chars > 2000) AS above, round(coalesce(sum(n_chars) FILTER (n_chars > 2000), 0) / sum(n_chars), 6) AS share FROM documents GROUP BY 1",
     "filter_rank_slice": "SELECT (o // ceil(c / 3)::BIGINT)::BIGINT AS rank, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS o, count(*) OVER () AS c FROM documents) GROUP BY 1",
-    "proj_dense_tensor": "SELECT bool_and(len(embedding) = 64) AS dense, count(*) AS n FROM embeddings",
-    "agg_rollout_columns": "SELECT vec_id, round(list_sum(list_filter(embedding::DOUBLE[], lambda x: x > 0)) / greatest(len(list_filter(embedding, lambda x: x > 0)), 1), 6) AS mean FROM embeddings",
 }

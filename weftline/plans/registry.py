@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("corpus", "rollouts", "scores", "dialogues", "tables", "online", "further", "closing", "graded", "samples", "toolcases", "hooked", "io")
+MODULES: tuple[str, ...] = ("corpus", "rollouts", "scores", "dialogues", "tables", "online", "further", "closing", "graded", "samples", "toolcases", "hooked", "io", "entries")
 
 
 def _all(what: str) -> dict:

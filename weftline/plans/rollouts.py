@@ -194,7 +194,7 @@ QUERIES = {
     "win_group_norm": group_norm, "win_group_centre": group_centre, "filter_dynamic_nonzero_std": spread, "agg_zero_std_counts": zero_std, "agg_pass_at_k": passes,
     "agg_avg_at_k": avg_at_k, "agg_eval_dataset": eval_dataset, "agg_reward_category": category, "agg_whiten_stats": whiten, "win_discounted_return": returns, "win_gae": gae,
     "win_cumulative_offsets": offsets, "win_ppo_token_reward": token_reward, "agg_sample_mean_sum": masked, "fn_mask_lengths": mask_runs, "fn_adaptive_coef": adaptive,
-    "agg_lane_summary": lane, "agg_suite_means": suites, "join_paired_tasks": paired, "agg_bootstrap_delta": bootstrap, "join_record_expected": completeness, "win_lag_rates": rates,
+    "agg_suite_means": suites, "join_paired_tasks": paired, "agg_bootstrap_delta": bootstrap, "join_record_expected": completeness, "win_lag_rates": rates,
     "fn_strict_json": json_args, "st_latest_wins": latest, "agg_step_tokens": step_tokens, "proj_optional_columns": optional_columns, "agg_metric_check": metric_check, "agg_length_quantile_hist": quantile_hist,
 }
 KEYED = "SELECT user_id || '-' || event_id // 400 AS g, (event_type = 'purchase')::INT AS ok FROM events"
@@ -215,7 +215,6 @@ SQL = {
     "agg_sample_mean_sum": "SELECT user_id, round(coalesce(sum(value) FILTER (value >= 30), 0) / greatest(count(*) FILTER (value >= 30), 1), 6) AS mean, count(*) FILTER (value >= 30) AS ones FROM events GROUP BY 1",
     "fn_mask_lengths": "WITH o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events), r AS (SELECT user_id, i, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS g FROM o WHERE value >= 30) SELECT user_id, min(i)::BIGINT AS start, count(*) AS length FROM r GROUP BY user_id, g",
     "fn_adaptive_coef": LISTS + " SELECT user_id, round(list_reduce(list_prepend(1.0::DOUBLE, v), lambda a, x: least(greatest(a * (1 + 0.05 * sign(x - 50)), 0.1), 10.0)), 6) AS coefficient FROM g",
-    "agg_lane_summary": "SELECT event_type, count(*) AS records, count(DISTINCT user_id) AS tasks, round(sum(value), 4) AS cost, quantile_disc(value, 0.5) AS p50, list_sort(list(value))[least(count(*), floor(count(*) * 0.95)::BIGINT + 1)] AS p95_floor, max(value) AS longest FROM events GROUP BY 1",
     "agg_suite_means": "WITH m AS (SELECT event_type, user_id, avg(value) AS m FROM events GROUP BY 1, 2), t AS (SELECT event_type, avg(m) AS m FROM m GROUP BY 1) SELECT CASE WHEN event_type IN ('click', 'view') THEN 'reach' ELSE 'act' END AS suite, round(avg(m), 6) AS mean, count(*) AS n FROM t GROUP BY GROUPING SETS ((suite), ())",
     "join_paired_tasks": "WITH m AS (SELECT event_type, user_id, avg(value) AS m FROM events GROUP BY 1, 2) SELECT count(*) AS tasks, round(avg(b.m - a.m), 6) AS delta FROM m a JOIN m b USING (user_id) WHERE a.event_type = 'click' AND b.event_type = 'view'",
     "join_record_expected": "SELECT k.event_type, count(*) AS missing FROM (SELECT DISTINCT user_id FROM events) u, (SELECT DISTINCT event_type FROM events) k WHERE (u.user_id, k.event_type) NOT IN (SELECT (user_id, event_type) FROM events) GROUP BY 1",

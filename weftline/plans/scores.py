@@ -123,7 +123,7 @@ def teacher_tail(s, d):
 
 QUERIES = {
     "fn_compose_delta": compose, "intersect_masks": masks, "fn_approx_kl": kls, "fn_policy_loss": policy, "fn_value_loss": value, "fn_tis": weights, "fn_opd_terms": soft,
-    "fn_tilted_target": tilt, "fn_topk_other": other, "topk_token_scores": top, "pred_sealed_row": sealed, "fn_opsm_mask": group_kl, "pk_cp_zigzag": zigzag, "pk_pad_multiple": pads,
+    "fn_tilted_target": tilt, "topk_token_scores": top, "pred_sealed_row": sealed, "fn_opsm_mask": group_kl, "pk_cp_zigzag": zigzag, "pk_pad_multiple": pads,
     "fn_sublist_find": runs, "fn_inverse_permutation": inverse, "proj_replace_fields": replace_fields, "proj_cast_storage": storage, "proj_teacher_tail": teacher_tail,
 }
 H = f"WITH h AS (SELECT vec_id, label, ({PRE})::DOUBLE[] AS pre, ({POST})::DOUBLE[] AS post, range(1, 33) AS i FROM embeddings)"
@@ -138,7 +138,6 @@ SQL = {
     "fn_tis": H + f" SELECT vec_id, round({Z('least(greatest(exp(4 * A - 4 * B), 0.1), 2)')}, 6) AS tis, round({Z('CASE WHEN exp(4 * A - 4 * B) BETWEEN 0.5 AND 2 THEN exp(4 * A - 4 * B) ELSE 0 END')}, 6) AS band FROM h",
     "fn_opd_terms": H + SOFT + " SELECT vec_id, round(list_sum(list_transform(i, lambda k: p[k] * (ln(p[k]) - ln(q[k])))), 6) AS kl, round(list_sum(list_transform(i, lambda k: abs(p[k] - q[k]))) / 2, 6) AS tv, round(-list_sum(list_transform(i, lambda k: p[k] * ln(p[k]))), 6) AS entropy, round(ln(list_sum(list_transform(pre, lambda x: exp(x)))), 6) AS lse FROM n",
     "fn_tilted_target": H + ", e AS (SELECT vec_id, list_transform(i, lambda k: exp(4 * pre[k] + (post[k] - pre[k]) / 0.5)) AS e FROM h), n AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS q FROM e) SELECT vec_id, round(list_max(q), 6) AS top, round(-list_sum(list_transform(q, lambda x: x * ln(x))), 6) AS entropy FROM n",
-    "fn_topk_other": H + ", e AS (SELECT vec_id, list_transform(pre[1:4], lambda x: exp(x - 3)) AS e FROM h), f AS (SELECT vec_id, e, greatest(1 - list_sum(e), 1e-8) AS r FROM e) SELECT vec_id, round(r / (r + list_sum(e)), 6) AS rest, round(e[1] / (r + list_sum(e)), 6) AS first FROM f",
     "topk_token_scores": H + ", x AS (SELECT vec_id, unnest(i) - 1 AS id, unnest(pre) AS v FROM h) SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, id) - 1)::BIGINT AS rank, id::BIGINT AS id, round(v, 6) AS score FROM x QUALIFY rank < 5",
     "pred_sealed_row": H + " SELECT vec_id, array_to_string(list_sort(list_filter([CASE WHEN len(pre) <> len(post) THEN 'length' END, CASE WHEN list_max(pre) > 0.3 THEN 'above' END, CASE WHEN list_max(pre) < 0.2 THEN 'flat' END], lambda x: x IS NOT NULL)), ',') AS problems FROM h",
     "fn_opsm_mask": H + f", m AS (SELECT vec_id, label, {Z('CASE WHEN A > -0.1 THEN A - B ELSE 0 END')} / greatest({Z('(A > -0.1)::INT')}, 1) AS m FROM h) SELECT vec_id, round(m, 6) AS mean, label < 5 AND m > 0.01 AS masked FROM m",

@@ -129,7 +129,7 @@ def inject(s, d):
 QUERIES = {
     "join_positional_streams": positional, "union_interleave": interleave, "cross_repeat_until": repeat_until, "cross_repeat": repeat, "cross_n_samples": samples,
     "filter_trim_multiple": trim, "filter_debug_subsample": subsample, "filter_holdout_tail": holdout, "filter_date_from": date_filter, "scan_locked": locked,
-    "join_answers_by_id": answers, "intersect_names": names, "multiset_calls": calls, "union_concat": concat, "pred_mixture_manifest": mixture, "pk_micro_batches": micro,
+    "join_answers_by_id": answers, "intersect_names": names, "multiset_calls": calls, "union_concat": concat, "pk_micro_batches": micro,
     "pk_karmarkar_karp": dealt(lambda x: batches.largest_differencing(x, min(8, len(x)))), "pk_greedy": dealt(lambda x: batches.least_loaded(x, 8)), "pk_first_fit": dealt(lambda x: batches.first_fit(x, 20_000)),
     "pk_size_chunks": dealt(lambda x: batches.size_chunks(x, 10_000)), "proj_template_math": template, "proj_inject_metadata": inject,
 }
@@ -149,7 +149,6 @@ SQL = {
     "intersect_names": "WITH f AS (SELECT l_suppkey, list(DISTINCT l_returnflag) AS a, coalesce(list(DISTINCT l_returnflag) FILTER (l_linestatus = 'F'), []) AS b FROM lineitem GROUP BY 1) SELECT l_suppkey, array_to_string(list_sort(list_intersect(a, b)), ',') AS shared, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ',') AS unknown FROM f",
     "multiset_calls": "SELECT calls, count(*) AS n FROM (SELECT string_agg(l_returnflag, '' ORDER BY l_returnflag) AS calls FROM lineitem WHERE l_quantity > 48 GROUP BY l_orderkey) GROUP BY 1",
     "union_concat": "SELECT count(*) AS n, sum(k)::BIGINT AS total FROM (SELECT o_orderkey AS k FROM orders UNION ALL SELECT l_orderkey FROM lineitem)",
-    "pred_mixture_manifest": "SELECT l_returnflag, round(count(*) / (SELECT count(*) FROM lineitem), 6) AS weight, count(*) % 4 = 0 AS whole FROM lineitem GROUP BY 1",
     "pk_micro_batches": "SELECT (o // 1000)::BIGINT AS batch, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM (SELECT l_quantity, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS o FROM lineitem) GROUP BY 1",
     "proj_template_math": "SELECT doc_id, 'Solve:' || chr(10) || trim(text) || chr(10) || 'Answer:' AS prompt, 'sha256:' || sha256(trim(text)) AS label FROM documents",
     "proj_inject_metadata": "SELECT doc_id, lang, 'math' AS rm_type, 'eval/lang,eval/rm_type' AS keys FROM documents",
