@@ -3,7 +3,7 @@
 Words with a count of a tenth of the root of all tokens or more are modelled, so the model grows with the corpus. A
 prediction has two steps. Outputs of the first are the DIRECT most frequent words, classes of the other modelled words,
 classes of all other words by their last letters, and the end; of the second, the words of a class. Modelled words that
-end alike stand together, and runs of them, as many as each has words, are the classes. Vectors of the two tokens
+end alike stand together, and runs of them, a third as many as each has words, are the classes. Vectors of the two tokens
 before, weighted by place and summed, times an output's vector, plus its bias, are its score in either step, and a
 softmax over the step's outputs normalises it: matrix products over batches, for the second step class by class.
 A word inside a class by last letters has its count plus one over the class's counts, each plus one, plus one for a
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import shared
 
-DIRECT, ENDINGS, CONTEXT, DIM = 96, 64, 2, 16
+DIRECT, ENDINGS, CONTEXT, DIM = 32, 64, 2, 16
 #: So many words are sent to every task with their counts, none longer than LONGEST bytes; others are joined.
 FREQUENT, LONGEST = 300_000, 64
 SIGNS = ".,!?;:%$#&*\"')(|"
@@ -75,7 +75,7 @@ class Vocabulary:
         order += [self.direct + i for i in sorted(range(len(rest)), key=lambda i: rest[i].rstrip(SIGNS)[::-1])]
         self.number = np.empty(self.n_words, np.int64)
         self.number[order] = np.arange(self.n_words)
-        self.size = max(1, math.ceil(math.sqrt(len(rest))))
+        self.size = max(1, math.ceil(math.sqrt(3 * len(rest))))  # the second step is taken by a third of the tokens
         n = np.zeros(self.n_words)
         n[self.number] = self.counts[: self.n_words]
         self.own = n + 0.5
@@ -199,7 +199,7 @@ class Model:
     def context(self, c: np.ndarray) -> np.ndarray:
         """With a one at the end, for the bias."""
         h = np.ones((len(c), DIM + 1), np.float32)
-        h[:, :DIM] = (self.before[c] * self.place).sum(axis=1)
+        h[:, :DIM] = np.einsum("nkd,kd->nd", self.before[c], self.place)
         return h
 
     @staticmethod
@@ -215,7 +215,7 @@ class Model:
 class Trainer:
     """Noise-contrastive estimation with AdaGrad; the first step's noise of a batch is shared by its tokens."""
 
-    def __init__(self, model: Model, v: Vocabulary, noise: int = 64, own_noise: int = 5, rate: float = 0.3, seed: int = 0):
+    def __init__(self, model: Model, v: Vocabulary, noise: int = 32, own_noise: int = 4, rate: float = 0.3, seed: int = 0):
         self.m, self.v, self.noise, self.own_noise, self.rate, self.rng = model, v, noise, own_noise, rate, np.random.default_rng(seed)
         self.edges, self.log_kq = np.cumsum(v.top), np.log(noise * v.top).astype(np.float32)
         classes = v.first_step(np.arange(v.n_words))
@@ -246,7 +246,7 @@ class Trainer:
         drawn = np.minimum(np.searchsorted(self.edges, self.rng.random(self.noise)), v.n_top - 1)
         vectors = m.before[c]
         h = np.ones((n, DIM + 1), np.float32)
-        h[:, :DIM] = (vectors * m.place).sum(axis=1)
+        h[:, :DIM] = np.einsum("nkd,kd->nd", vectors, m.place)
         true_rows, noise_rows = m.top[y], m.top[drawn]
         true = 1 / (1 + np.exp(self.log_kq[y] - np.einsum("nd,nd->n", h, true_rows)))
         false = 1 / (1 + np.exp(self.log_kq[drawn] - h @ noise_rows.T))
@@ -266,7 +266,7 @@ class Trainer:
             moves.append((3, pick.reshape(-1), (-p[:, :, None] * hi[:, None, :]).reshape(-1, DIM + 1)))
         d = dh[:, None, :DIM]
         moves.append((0, c.reshape(-1), (d * m.place).reshape(-1, DIM)))
-        moves.append((1, np.arange(CONTEXT), (d * vectors).sum(axis=0)))
+        moves.append((1, np.arange(CONTEXT), np.einsum("nd,nkd->kd", dh[:, :DIM], vectors)))
         for k, at, g in moves:
             self._move(k, at, g * np.float32(1 / n))
 
