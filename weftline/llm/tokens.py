@@ -55,6 +55,9 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; more threads only wait for it
         self.tokenizer = Tokenizer.from_file(path)
         self.max_bytes = max_bytes
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id; a byte is a character of its name
+        self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))
         self._forget()
 
     def _forget(self) -> None:
@@ -79,12 +82,47 @@ class Encoder:
         self.n = most
 
     def _encoded(self, pieces: pa.Array, step: int = 1 << 14) -> None:
-        """Remembers different pieces by the library's ids for them."""
-        for at in range(0, len(pieces), step):
-            some = pieces.slice(at, step)
+        """Remembers different pieces by the library's ids for them.
+
+        Pieces that begin with white space and don't end with it are encoded as one text, as cuts before white space
+        change nothing; the number of bytes of each id tells where a piece ends among the ids.
+        """
+        apart = np.asarray(pc.match_substring_regex(pieces, f"^[^\x00]*{SPACE}$")) | np.asarray(pc.match_substring(pieces, "<|"))
+        apart |= ~np.asarray(pc.match_substring_regex(pieces, f"^{SPACE}"))
+        joined, rest = pieces.filter(pa.array(~apart)), pieces.filter(pa.array(apart))
+        order = np.argsort(apart, kind="stable")  # slots are in the order of the pieces
+        ids, counts = [], []
+
+        def alone(some: pa.Array) -> None:
             got = [x.ids for x in self.tokenizer.encode_batch_fast(some.to_pylist(), add_special_tokens=False)]
-            counts = np.fromiter(map(len, got), np.int64, len(got))
-            self._store(some, np.fromiter(chain.from_iterable(got), np.uint32, int(counts.sum())), np.cumsum(counts))
+            counts.append(np.fromiter(map(len, got), np.int64, len(got)))
+            ids.append(np.fromiter(chain.from_iterable(got), np.uint32, int(counts[-1].sum())))
+
+        for at in range(0, len(joined), step):
+            some = pa.concat_arrays([joined.slice(at, step)])
+            ends = np.frombuffer(some.buffers()[1], np.int32, len(some) + 1, 4 * some.offset)
+            text = some.buffers()[2][int(ends[0]) : int(ends[-1])].to_pybytes().decode()
+            got = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            upto, wanted = np.cumsum(self.sizes[got]), ends[1:] - ends[0]
+            place = np.minimum(np.searchsorted(upto, wanted), len(upto) - 1)
+            if (upto[place] == wanted).all():
+                ids.append(got)
+                counts.append(np.diff(place, prepend=-1))
+            else:  # an id that reaches over the end of a piece, which no cut before white space gives
+                alone(some)
+        for at in range(0, len(rest), step):
+            alone(rest.slice(at, step))
+        if not ids:
+            return
+        ids, counts = np.concatenate(ids), np.concatenate(counts)
+        if len(joined) and len(rest):  # back to the order of the pieces
+            begins = np.cumsum(counts) - counts
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            counts, begins = counts[back], begins[back]
+            upto = np.cumsum(counts)
+            ids = ids[np.repeat(begins - (upto - counts), counts) + np.arange(int(upto[-1]))]
+        self._store(pieces, ids, np.cumsum(counts))
 
     def _found(self, pieces: pa.Array) -> np.ndarray:
         """The slots of different pieces, those that were unknown now remembered.
