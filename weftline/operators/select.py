@@ -27,6 +27,17 @@ def ordinals(rows: DataFrame, order: list[str], name: str = "ord") -> DataFrame:
     return parts.join(starts, "_task").select(*rows.columns, (local + F.col("_before")).alias(name))
 
 
+def prefix_sums(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """rows with the sum of value over them and all rows before, without sending all of them to one task: a task sums its
+    own range, and the sums of the tasks before are added. Null values count as nothing."""
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    parts = kept(parts, "prefix-sums").withColumn("_task", F.shiftright("_at", 33))
+    own = F.sum(F.coalesce(value, F.lit(0))).over(Window.partitionBy("_task").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    sums = parts.groupBy("_task").agg(F.sum(F.coalesce(value, F.lit(0))).alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.withColumn("_own", own).join(sums.select("_task", before.alias("_before")), "_task").select(*rows.columns, (F.col("_own") + F.col("_before")).alias(name))
+
+
 def hash_order(seed: int | str, id_col: str) -> Column:
     """SHA-256 of the seed, a zero character and the id."""
     return F.sha2(F.concat(F.lit(f"{seed}\0"), F.col(id_col).cast("string")), 256)

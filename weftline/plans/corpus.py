@@ -130,8 +130,8 @@ def length_stats(s, d):
 
 
 def length_sets(s, d):
-    docs(s, d).withColumn("bucket", F.least(F.floor(F.col("n_chars") / 1000), F.lit(9)).cast("long")).createOrReplaceTempView("_length_rows")
-    return s.sql("SELECT lang, bucket, count(*) AS n, percentile_disc(0.95) WITHIN GROUP (ORDER BY n_chars) AS p95, max(n_chars) AS longest FROM _length_rows GROUP BY GROUPING SETS ((), (lang), (bucket))")
+    rows = docs(s, d).select("lang", "n_chars", F.least(F.floor(F.col("n_chars") / 1000), F.lit(9)).cast("long").alias("bucket"))
+    return s.sql("SELECT lang, bucket, count(*) AS n, percentile_disc(0.95) WITHIN GROUP (ORDER BY n_chars) AS p95, max(n_chars) AS longest FROM {rows} GROUP BY GROUPING SETS ((), (lang), (bucket))", rows=rows)
 
 
 def retention(s, d):
@@ -299,4 +299,5 @@ SQL = {
     "curation_funnel": PAIRS + ", u AS (SELECT min(doc_id) AS doc_id FROM documents WHERE n_chars > 200 GROUP BY text), c AS (SELECT * FROM u WHERE doc_id NOT IN (SELECT doc_id FROM hit)) SELECT 0 AS step, 'raw' AS stage, count(*) AS n FROM documents UNION ALL SELECT 1, 'structural', count(*) FROM documents WHERE n_chars > 200 UNION ALL SELECT 2, 'unique', count(*) FROM u UNION ALL SELECT 3, 'clean', count(*) FROM c UNION ALL SELECT 4, 'fit', count(*) FROM c JOIN documents USING (doc_id) WHERE n_chars <= 4000",
     "rw_f1": f"WITH t AS (SELECT doc_id, {ANSWER} AS t FROM documents), a AS (SELECT doc_id, list_filter(string_split(t, ' '), lambda w: w <> '') AS a, CASE WHEN t IN ('yes', 'no', 'noanswer') THEN t ELSE '' END AS l FROM t), w AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(a) AS w FROM a) GROUP BY 1, 2), m AS (SELECT x.doc_id, sum(least(x.n, y.n)) AS s FROM w x JOIN w y ON y.doc_id = x.doc_id + 1 AND y.w = x.w GROUP BY 1) SELECT x.doc_id, CASE WHEN x.l = y.l AND s > 0 THEN round(2 * (s / len(x.a)) * (s / len(y.a)) / (s / len(x.a) + s / len(y.a)), 6) ELSE 0 END AS f1 FROM a x JOIN a y ON y.doc_id = x.doc_id + 1 LEFT JOIN m ON m.doc_id = x.doc_id",
     "fn_jaccard": f"WITH a AS (SELECT doc_id, list_distinct({TOK}) AS a FROM documents), p AS (SELECT x.doc_id, x.a, y.a AS b FROM a x JOIN a y ON y.doc_id = x.doc_id + 1) SELECT doc_id, round(coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 0), 6) AS jaccard, round(coalesce(len(list_intersect(a, b)) / nullif(least(len(a), len(b)), 0), 0), 6) AS overlap FROM p",
+    "fn_text_forms": r"SELECT doc_id, sha256(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS lf, length(trim(regexp_replace(text, '\s+', ' ', 'g')))::BIGINT AS squeezed, sha256(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS alnum, CASE WHEN length(text) > 40 THEN left(text, 20) || ' ... [' || (length(text) - 40) || ' chars] ... ' || right(text, 20) ELSE text END AS preview, sha256(regexp_replace(regexp_replace(lower(text), '^[ \t\n\x0b\x0c\r]+', ''), '[ \t\n\x0b\x0c\r]+$', '')) AS masked FROM documents",
 }

@@ -35,7 +35,9 @@ def target_kind(s, d):
 
 
 def same_role(s, d):
-    return dedup.lag_pairs(turns(s, d), "conv_id", "turn", "role").groupBy("role").agg(F.count("*").alias("n"))
+    """Adjacent turns that are alike, here by a third of their lengths, as roles take turns in these tables."""
+    t = turns(s, d).withColumn("half", F.floor(F.length("text") % 3))
+    return dedup.lag_pairs(t, "conv_id", "turn", "half").groupBy("role", "half").agg(F.count("*").alias("n"))
 
 
 def dialogue(s, d):
@@ -127,7 +129,7 @@ QUERIES = {
 G = "WITH g AS (SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn) AS m FROM conversations GROUP BY 1)"
 SQL = {
     "fn_role_sequence": "SELECT conv_id, string_agg(left(role, 1), '' ORDER BY turn) AS roles FROM conversations GROUP BY 1",
-    "win_lag_pairs": "SELECT role, count(*) AS n FROM (SELECT role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) WHERE role = b GROUP BY 1",
+    "win_lag_pairs": "SELECT role, half, count(*) AS n FROM (SELECT role, length(text) % 3 AS half, lag(length(text) % 3) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) WHERE half = b GROUP BY 1, 2",
     "fn_dialogue_text": "SELECT conv_id, sha256(t) AS digest, length(t)::BIGINT AS n_chars FROM (SELECT conv_id, coalesce(string_agg(role || ': ' || text, chr(10) ORDER BY turn) FILTER (role <> 'system'), '') AS t FROM conversations GROUP BY 1)",
     "proj_excerpt": r"SELECT conv_id, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 160) AS excerpt FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1",
     "proj_chat_render": "SELECT conv_id, sha256(string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn) || CASE WHEN arg_max(role, turn) = 'user' THEN '<|assistant|>' || chr(10) ELSE '' END) AS digest FROM conversations GROUP BY 1",

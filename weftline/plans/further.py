@@ -74,7 +74,7 @@ def epoch_shuffle(s, d):
 
 
 def percentile_floor(s, d):
-    return docs(s, d).groupBy("lang").agg(metrics.floor_rank(F.collect_list("n_chars"), 0.9).alias("p90"))
+    return metrics.exact_rank(docs(s, d), "lang", "n_chars", 0.9, "p90")
 
 
 def top_names(s, d):

@@ -118,4 +118,5 @@ SQL = {
     "scan_jsonl_label_str": "SELECT length(c_name)::BIGINT AS len, count(*) AS n, sum(c_custkey)::BIGINT AS ids FROM customer GROUP BY 1",
     "fn_argument_errors": "SELECT CASE WHEN (props->>'k')::INT < 10 THEN '$.k: bounds' ELSE '' END AS error, count(*) AS n FROM events GROUP BY 1",
     "fn_canonical_json": "SELECT event_id, replace(props, ' ', '') AS canonical FROM events",
+    "st_epoch_cursor": "SELECT unnest(range(6)) AS step, (SELECT count(*) // 3 FROM customer) AS n, (SELECT count(*) // 3 FROM customer) AS distinct_n",
 }

@@ -94,8 +94,7 @@ GAE = "WITH RECURSIVE o AS (SELECT user_id, value AS v, value / 10 AS w, coalesc
 
 def offsets(s, d):
     n = events(s, d).groupBy("user_id").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(F.lit(1)).orderBy("user_id").rowsBetween(Window.unboundedPreceding, 0)
-    return n.select("user_id", F.sum("n").over(w).alias("upto"))
+    return select.prefix_sums(n, ["user_id"], "n", "upto").select("user_id", "upto")
 
 
 def token_reward(s, d):
@@ -129,8 +128,8 @@ def lane(s, d):
 
 def suites(s, d):
     e = events(s, d).groupBy("event_type", "user_id").agg(F.avg("value").alias("m")).groupBy("event_type").agg(F.avg("m").alias("m"))
-    e.withColumn("suite", F.when(F.col("event_type").isin("click", "view"), "reach").otherwise("act")).createOrReplaceTempView("_suites")
-    return s.sql("SELECT suite, round(avg(m), 6) AS mean, count(*) AS n FROM _suites GROUP BY GROUPING SETS ((suite), ())")
+    e = e.withColumn("suite", F.when(F.col("event_type").isin("click", "view"), "reach").otherwise("act"))
+    return s.sql("SELECT suite, round(avg(m), 6) AS mean, count(*) AS n FROM {suites} GROUP BY GROUPING SETS ((suite), ())", suites=e)
 
 
 def paired(s, d):
@@ -144,11 +143,14 @@ def bootstrap(s, d):
     return s.createDataFrame([metrics.bootstrap_interval(deltas, 2000)], "delta double, low double, high double")
 
 
+KINDS = ("click", "error", "purchase", "signup", "view")
+
+
 def completeness(s, d):
-    users = events(s, d).select("user_id").distinct()
-    kinds = events(s, d).select("event_type").distinct()
-    want = users.crossJoin(F.broadcast(kinds))  # tasks times a handful of trials
-    return want.join(events(s, d).select("user_id", "event_type").distinct(), ["user_id", "event_type"], "left_anti").groupBy("event_type").agg(F.count("*").alias("missing"))
+    """Of every third event's records, the kinds that a user has none of; a handful of kinds is expected of each."""
+    want = events(s, d).select("user_id").distinct().withColumn("event_type", F.explode(F.array(*map(F.lit, KINDS))))
+    have = events(s, d).where("event_id % 3 = 0").select("user_id", "event_type").distinct()
+    return want.join(have, ["user_id", "event_type"], "left_anti").groupBy("event_type").agg(F.count("*").alias("missing"))
 
 
 def rates(s, d):
@@ -217,7 +219,7 @@ SQL = {
     "fn_adaptive_coef": LISTS + " SELECT user_id, round(list_reduce(list_prepend(1.0::DOUBLE, v), lambda a, x: least(greatest(a * (1 + 0.05 * sign(x - 50)), 0.1), 10.0)), 6) AS coefficient FROM g",
     "agg_suite_means": "WITH m AS (SELECT event_type, user_id, avg(value) AS m FROM events GROUP BY 1, 2), t AS (SELECT event_type, avg(m) AS m FROM m GROUP BY 1) SELECT CASE WHEN event_type IN ('click', 'view') THEN 'reach' ELSE 'act' END AS suite, round(avg(m), 6) AS mean, count(*) AS n FROM t GROUP BY GROUPING SETS ((suite), ())",
     "join_paired_tasks": "WITH m AS (SELECT event_type, user_id, avg(value) AS m FROM events GROUP BY 1, 2) SELECT count(*) AS tasks, round(avg(b.m - a.m), 6) AS delta FROM m a JOIN m b USING (user_id) WHERE a.event_type = 'click' AND b.event_type = 'view'",
-    "join_record_expected": "SELECT k.event_type, count(*) AS missing FROM (SELECT DISTINCT user_id FROM events) u, (SELECT DISTINCT event_type FROM events) k WHERE (u.user_id, k.event_type) NOT IN (SELECT (user_id, event_type) FROM events) GROUP BY 1",
+    "join_record_expected": f"SELECT k.event_type, count(*) AS missing FROM (SELECT DISTINCT user_id FROM events) u, (SELECT unnest({list(KINDS)}) AS event_type) k WHERE (u.user_id, k.event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id % 3 = 0) GROUP BY 1",
     "win_lag_rates": "SELECT event_id, round(r, 5) AS rate FROM (SELECT event_id, (value - lag(value) OVER w) / (epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER w) AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE r IS NOT NULL",
     "fn_strict_json": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_valid(props) AS valid FROM events",
     "st_latest_wins": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",

@@ -147,4 +147,5 @@ SQL = {
     "proj_replace_fields": "SELECT vec_id, CASE WHEN vec_id % 3 <> 0 THEN label END AS a, CASE WHEN vec_id % 3 <> 0 THEN 'xy' END AS b, vec_id % 3 = 0 AS \"none\" FROM embeddings",
     "proj_cast_storage": H + " SELECT vec_id, round(list_sum(pre), 6) AS total FROM h",
     "proj_teacher_tail": H + " SELECT vec_id, 8::BIGINT AS n, round(list_sum(post[25:32]), 6) AS total FROM h",
+    "fn_inverse_permutation": H + ", r AS (SELECT vec_id, list_transform(i, lambda k: (list_position(list_sort(pre), pre[k]) - 1)::BIGINT) AS r FROM h) SELECT vec_id, list_reduce(list_prepend(0::BIGINT, r), lambda a, x: (a * 31 + x) % 1000003) AS mark FROM r",
 }

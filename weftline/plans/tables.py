@@ -69,7 +69,7 @@ def date_filter(s, d):
 
 def locked(s, d):
     """Filtered, sorted ids and their digest."""
-    o = orders(s, d).where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).select("o_orderkey", (F.col("o_orderkey") % 16).alias("part"))
+    o = orders(s, d).where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).select("o_orderkey", F.floor(F.col("o_orderkey") / 500).alias("part"))
     return o.groupBy("part").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("o_orderkey")), ","), 256).alias("digest"))
 
 
@@ -144,7 +144,7 @@ SQL = {
     "filter_debug_subsample": O + ", c AS (SELECT count(*) AS c, floor(count(*) * 0.13::DOUBLE)::BIGINT AS n FROM orders) SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS ids FROM o, c WHERE ord < c.n // 2 OR ord >= c - (c.n - c.n // 2)",
     "filter_holdout_tail": "SELECT o >= c - 40 AS eval, count(*) AS n, min(c_custkey) AS first FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS o, count(*) OVER () AS c FROM customer) GROUP BY 1",
     "filter_date_from": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY 1",
-    "scan_locked": "SELECT o_orderkey % 16 AS part, count(*) AS n, sha256(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS digest FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY 1",
+    "scan_locked": "SELECT o_orderkey // 500 AS part, count(*) AS n, sha256(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS digest FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY 1",
     "join_answers_by_id": "SELECT o_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1",
     "intersect_names": "WITH f AS (SELECT l_suppkey, list(DISTINCT l_returnflag) AS a, coalesce(list(DISTINCT l_returnflag) FILTER (l_linestatus = 'F'), []) AS b FROM lineitem GROUP BY 1) SELECT l_suppkey, array_to_string(list_sort(list_intersect(a, b)), ',') AS shared, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ',') AS unknown FROM f",
     "multiset_calls": "SELECT calls, count(*) AS n FROM (SELECT string_agg(l_returnflag, '' ORDER BY l_returnflag) AS calls FROM lineitem WHERE l_quantity > 48 GROUP BY l_orderkey) GROUP BY 1",
