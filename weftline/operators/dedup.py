@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text
-from weftline.sources.kept import kept
+from weftline.sources.kept import kept, spread
 
 
 def digest(*cols: str | Column) -> Column:
@@ -38,7 +38,7 @@ def conflict_groups(rows: DataFrame, prompt: str, target: str, kind: str) -> Dat
 
 def shingle_table(rows: DataFrame, id_col: str, text_col: str, k: int, short: str = "whole") -> DataFrame:
     """(id, shingle hash, number of the row's shingles)."""
-    sh = rows.select(id_col, text.bind(text.shingle_hashes(text.norm_tokens(F.col(text_col)), k, short), lambda s: F.struct(s.alias("s"), F.size(s).alias("n"))).alias("x"))
+    sh = spread(rows.select(id_col, text_col)).select(id_col, text.bind(text.shingle_hashes(text.norm_tokens(F.col(text_col)), k, short), lambda s: F.struct(s.alias("s"), F.size(s).alias("n"))).alias("x"))
     return sh.select(id_col, F.col("x.n").alias("n"), F.explode("x.s").alias("shingle"))
 
 
@@ -68,14 +68,15 @@ def near_pairs(rows: DataFrame, id_col: str, text_col: str, stratum: str, k: int
     stratum is a stratum of its own. Ids must be different and not null.
     """
     hashes = text.shingle_hashes(text.norm_tokens(F.col(text_col)), k, "none")
-    base = rows.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(stratum).cast("string"), F.lit("\0"))).alias("s"), F.array_sort(hashes).alias("w")).where(F.size("w") > 0)
-    base = kept(base.withColumn("key", F.sha2(F.concat(F.col("s").cast("string"), F.col("w").cast("string")), 256)), "shingle-sets")
+    base = spread(rows.select(id_col, text_col, stratum)).select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(stratum).cast("string"), F.lit("\0"))).alias("s"), F.sort_array(hashes).alias("w")).where(F.size("w") > 0)
+    key = F.struct("s", F.size("w").alias("n"), F.xxhash64("w").alias("a"), F.xxhash64(F.lit("set"), "w").alias("b"))  # 128 bits and the size
+    base = kept(base.withColumn("key", key), "shingle-sets")
     first = base.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("_n"))
     copies = base.select("id", "key").join(first.where("_n > 1"), "key").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     sets = kept(base.join(first.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "w", F.size("w").alias("n"), "s"), "shingle-classes")
-    sh = sets.select("id", "n", F.explode(F.transform("w", lambda x: F.xxhash64(F.col("s"), x))).alias("h"))
+    sh = sets.select("id", "n", "s", F.explode("w").alias("x")).select("id", "n", F.xxhash64("s", "x").alias("h"))
     often = sh.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
-    common = sh.join(often, "h").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("o"))
+    common = sh.join(often, "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("o"))
     room = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - (F.col("n") - F.size("o"))  # of the prefix, after the shingles of one class alone
     probes = common.where(room > 0).select("id", "n", F.explode(F.slice("o", F.lit(1), room.cast("int"))).alias("x")).select("id", "n", "x.h")
     a, b = probes.withColumnsRenamed({"id": "a", "n": "n_a"}), probes.withColumnsRenamed({"id": "b", "n": "n_b"})

@@ -38,6 +38,15 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: a file of few row groups would leave most of them idle.
+
+    A table that is in so many already, as large ones are, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def clean(spark: SparkSession) -> bool:
     """Deletes all work tables of this application, after which results that stand on them can't be read."""
     path = spark._jvm.org.apache.hadoop.fs.Path(base(spark))
