@@ -244,7 +244,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
                 texts = [main_text(x) for x in part.column(part.schema.get_field_index(html_col)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*kept, text_col, "n_chars"])
 
-    return pages.mapInArrow(shared.tidy(get), schema)
+    return shared.spread(pages).mapInArrow(shared.tidy(get), schema)
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,7 +233,7 @@ def judge(docs: DataFrame, field: Field, share: float = 0.5, keep_columns: bool
                 cols = [part.column(part.schema.get_field_index(c)) for c in kept] + [pa.array([x[k] for x in m], pa.int64()) for k in range(5)] + [pa.array(failed, pa.bool_()), pa.array(good, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(cols, names=[*kept, *new, "base_failed", "kept"])
 
-    return docs.mapInArrow(shared.tidy(get), schema)
+    return shared.spread(docs).mapInArrow(shared.tidy(get), schema)
 
 
 def op6_line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -399,7 +399,7 @@ def score_texts(docs: DataFrame, spark: SparkSession) -> DataFrame:
     texts all tokens are unknown: base and model are uniform over the one unseen kind. Equal rows are rows of
     their own; other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (shared.id_remainder("doc_id", 7) == 2).alias("held_out"))
+    docs = shared.spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (shared.id_remainder("doc_id", 7) == 2).alias("held_out"))
     fit = docs.where("not held_out")
     counts = count_words(fit, spark)
     vocab = vocabulary(counts, fit.count())

@@ -83,7 +83,7 @@ def copies(rows: DataFrame, spark: SparkSession, seed: str = "mix") -> DataFrame
 
 def sizes_of(docs: DataFrame, spark: SparkSession, *more: str) -> DataFrame:
     """source, size, doc_id and a hash of the text, from one pass over the texts, in a written table."""
-    return shared.written(docs.select("source", n_words().alias("size"), "doc_id", F.md5("text").alias("tie"), *more), spark, "mix-sizes")
+    return shared.written(shared.spread(docs).select("source", n_words().alias("size"), "doc_id", F.md5("text").alias("tie"), *more), spark, "mix-sizes")
 
 
 def mix(docs: DataFrame, spark: SparkSession) -> DataFrame:

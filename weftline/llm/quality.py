@@ -125,7 +125,7 @@ def features(docs: DataFrame, spark: SparkSession) -> DataFrame:
                 x = [statistics(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "held_out", "x"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (shared.id_remainder("doc_id", 5) == 0).alias("held_out"))
+    rows = shared.spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (shared.id_remainder("doc_id", 5) == 0).alias("held_out"))
     return shared.written(rows.mapInArrow(shared.tidy(get), "doc_id long, held_out boolean, x array<double>"), spark, "features")
 
 

@@ -45,6 +45,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+spread = kept.spread
+
+
 def tidy(get):
     """get, a function for mapInArrow, after which the worker gives back the memory that it no longer needs."""
 

@@ -249,7 +249,7 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, most: int = 4, shingle
     Equal rows are rows of their own. A null doc_id is never a component_id unless its whole component has
     none. An empty table gives an empty one.
     """
-    prints = shared.written(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), shingle=shingle), spark, "prints")
+    prints = shared.written(fingerprints(shared.spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), shingle=shingle), spark, "prints")
     of = classes(prints, spark, most)
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     ids = shared.written(of.join(least, "fp").groupBy("root").agg(F.min("first").alias("component_id")), spark, "component-ids")
@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, most: int = 4, shingle
 
 def keep_first(docs: DataFrame, spark: SparkSession, most: int = 4, shingle: int = 4) -> DataFrame:
     """docs with one row of each component: the least doc_id (nulls last), of equal ones the first in the table."""
-    numbered = shared.written(docs.withColumn("_row", F.monotonically_increasing_id()), spark, "numbered")
+    numbered = shared.written(shared.spread(docs).withColumn("_row", F.monotonically_increasing_id()), spark, "numbered")
     prints = shared.written(fingerprints(numbered.select("_row", "doc_id", F.col("text").cast("string").alias("text")), shingle=shingle), spark, "prints")
     of = classes(prints, spark, most)
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
