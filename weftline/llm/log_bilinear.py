@@ -397,13 +397,13 @@ def score_texts(docs: DataFrame, spark: SparkSession) -> DataFrame:
 
     The texts with crc32(doc_id) mod 7 other than 2 train. A null or empty text is one end. Without training
     texts all tokens are unknown: base and model are uniform over the one unseen kind. Equal rows are rows of
-    their own; other columns are not read.
+    their own; other columns are not read. Training keeps the table's own partitions, as tasks of more texts learn more.
     """
-    docs = shared.spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (shared.id_remainder("doc_id", 7) == 2).alias("held_out"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (shared.id_remainder("doc_id", 7) == 2).alias("held_out"))
     fit = docs.where("not held_out")
     counts = count_words(fit, spark)
     vocab = vocabulary(counts, fit.count())
-    return score(docs, vocab, counts, train(fit, vocab, spark), spark)
+    return score(shared.spread(docs), vocab, counts, train(fit, vocab, spark), spark)
 
 
 def op5_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
