@@ -10,7 +10,7 @@ from weftline.functions import arrays as A
 #: Arrays that become columns of a sample; with those of the last line they leave the metadata.
 SAMPLE_FIELDS = ("candidate_ids", "behavior_topk_log_probs", "post_teacher_log_probs", "pre_teacher_log_probs", "student_ref_sampled_log_probs")
 PAYLOAD_FIELDS = (*SAMPLE_FIELDS, "prompt_tokens", "response_tokens", "loss_mask", "behavior_sampled_log_probs")
-PRECOMPUTED_FLAGS = ("is_lightning_opd", "is_offline_opd", "is_offline_direct_opd")
+PRECOMPUTED_FLAGS = ("is_precomputed", "is_offline", "is_offline_scored")
 STATUSES = ("pending", "completed", "truncated", "aborted", "failed")
 
 

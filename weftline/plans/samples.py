@@ -68,7 +68,7 @@ def precomputed(s, d):
     k = F.col("c_custkey")
     n = F.pmod(k, F.lit(6)).cast("int")
     meta = F.struct(
-        F.when(k % 2 == 0, True).alias("is_lightning_opd"), F.when(k % 7 == 0, True).alias("is_offline_opd"), F.lit(None).cast("boolean").alias("is_offline_direct_opd"),
+        F.when(k % 2 == 0, True).alias("is_precomputed"), F.when(k % 7 == 0, True).alias("is_offline"), F.lit(None).cast("boolean").alias("is_offline_scored"),
         F.when(k % 5 != 0, F.array_repeat(F.lit(9), n)).alias("response_tokens"), F.when(k % 3 == 0, F.array_repeat(F.lit(0), F.when(k % 5 != 0, n).otherwise(0))).alias("loss_mask"),
         F.when(k % 4 == 0, "text").alias("response"), F.when(k % 4 == 1, F.array_repeat(F.lit(-0.5), n)).alias("student_log_probs"),
     )
