@@ -130,11 +130,21 @@ def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 def count_words(train: DataFrame, spark: SparkSession) -> DataFrame:
     """(word, n) over all texts, as a written table."""
 
+    def counted(texts: list[pa.Array]) -> pa.RecordBatch:
+        words, at, _ = tokens(pa.concat_arrays(texts))
+        return pa.RecordBatch.from_arrays([words, pa.array(np.bincount(at, minlength=len(words)).astype(np.int64))], names=["word", "n"])
+
     def get(batches):
+        held, size = [], 0  # texts of 12 MB are counted at a time, so that fewer rows go back
         for batch in batches:
-            for part in shared.slices(batch, "text", 16 << 20):
-                words, at, _ = tokens(part.column(part.schema.get_field_index("text")))
-                yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(at, minlength=len(words)).astype(np.int64))], names=["word", "n"])
+            for part in shared.slices(batch, "text"):
+                held.append(part.column(part.schema.get_field_index("text")))
+                size += held[-1].nbytes
+                if size >= 12 << 20:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
 
     return shared.written(train.select("text").mapInArrow(shared.tidy(get), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), spark, "word-counts")
 
